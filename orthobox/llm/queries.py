@@ -19,6 +19,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthobox.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return identify(docs.select("doc_id", "text", out.alias("held_out")), fit(docs.where(~out))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -74,6 +82,7 @@ SELECT doc_id, size, source_size, target, ((floor((nth + 1) * each + off) - floo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_language": op3_language,
     "op7_urls": op7_urls,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
