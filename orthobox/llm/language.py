@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
+
 MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 60_000, 60_000, 4, 1.0
 KNOWN_WORDS = 300_000  # entries of the cache of scored words, in a worker
 _WORD = re.compile(r"[^\W\d_]+")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions sent to workers carry their code, so that executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules["orthobox.llm"])
+
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
