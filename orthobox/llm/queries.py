@@ -57,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
                      ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM w),
 c AS (SELECT list_sort(s) AS k, min(doc_id) AS rep, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY ALL),
@@ -65,8 +65,8 @@ e AS (SELECT rep, n, unnest(k) AS x FROM c),
 p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
       GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
-r(node, at) AS (SELECT rep, rep FROM c UNION SELECT r.node, l.b FROM r JOIN l ON r.at = l.a),
-m AS (SELECT node, min(at) AS comp FROM r GROUP BY node)
+r(node, far) AS (SELECT rep, rep FROM c UNION SELECT r.node, l.b FROM r JOIN l ON r.far = l.a),
+m AS (SELECT node, min(far) AS comp FROM r GROUP BY node)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id, s.doc_id = coalesce(m.comp, s.doc_id) AS kept
 FROM s LEFT JOIN c ON list_sort(s.s) = c.k LEFT JOIN m ON m.node = c.rep
 """
