@@ -33,6 +33,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", out.alias("held_out")), fit(docs.where(~out))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthobox.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
+    "op4_html": op4_html,
     "op7_urls": op7_urls,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
