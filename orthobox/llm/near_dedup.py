@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash with tensored banding, every link confirmed on full shingle sets.
 
-A document's set holds its distinct two-word shingles (64-bit hashes of them). Two small collections of SIDE bands, each band
+A document's set holds its distinct shingles of n_words words (64-bit hashes of them). Two small collections of SIDE bands, each band
 being the hash of WIDTH minhashes, are computed; every pair of a band of the first and a band of the second collection is the
 key of one table. SIDE ** 2 tables thus take 2 * SIDE * WIDTH minhashes. A pair of similarity s meets in some table with
-probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: with 8 and 2 that is 0.9994 at 0.8 and 0.99997 at 0.85.
+probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: with 8 and 2 that is 0.9994 at 0.8 and 0.9999 at 0.85.
 
 Documents with equal sets are one class from the start, represented by their smallest id, so groups of exact copies cost one
 row. All pairs of a bucket are never emitted. In a first round every member of a bucket is compared with the bucket's
@@ -13,7 +13,7 @@ that no pair that met in a table goes unverified unless its ends are connected a
 documents concerned again; the pairs are broadcast only up to MAX_BROADCAST_PAIRS, else joined by a shuffle. The rows of a hot
 leader are salted.
 
-Cases: null, empty and blank texts have empty sets and link with nothing; a one-word text is one shingle; repeated rows link
+Cases: null, empty and blank texts have empty sets and link with nothing; a text of fewer than n_words words is one shingle; repeated rows link
 (equal sets); rows with null ids are kept and not linked; rows that share an id are one node; an empty table gives no rows;
 extra columns are not read.
 """
@@ -21,6 +21,7 @@ extra columns are not read.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +57,15 @@ def mixed(x: np.ndarray, by: np.uint64 = _M2) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; bytes.lower and bytes.split act on ASCII only, as wanted."""
-    h = hashes.of(text.lower().split()) if text else np.empty(0, np.uint64)
-    if len(h) > 1:
-        h = h[:-1] * _M1 + (h[1:] ^ (h[1:] >> np.uint64(27))) * _M2
-    return np.unique(mixed(h))
+def shingle_set(text: bytes | None, hashes: WordHashes, n_words: int) -> np.ndarray:
+    """Sorted hashes of the distinct n_words-word shingles (of the whole text if it has fewer words); bytes.lower and
+    bytes.split act on ASCII only, as wanted."""
+    w = hashes.of(text.lower().split()) if text else np.empty(0, np.uint64)
+    n = min(n_words, len(w))
+    h = w[: len(w) - n + 1] if n else w
+    for k in range(1, n):
+        h = h * _M1 + (w[k : len(w) - n + 1 + k] ^ (w[k : len(w) - n + 1 + k] >> np.uint64(27))) * _M2
+    return np.unique(mixed(h + np.uint64(n)))
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +98,12 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(key, before)
 
 
-def _sign(batches):
+def _sign(batches, n_words: int):
     hashes, (mul, add) = WordHashes(), _multipliers(2 * SIDE * WIDTH)
     for batch in batches:
         n, f1, f2, a, b = [], [], [], [], []
         for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text.as_py(), hashes, n_words)
             n.append(len(s))
             f1.append(int(np.add.reduce(mixed(s, _M1))) if len(s) else 0)
             f2.append(int(np.bitwise_xor.reduce(mixed(s, _M3))) if len(s) else 0)
@@ -110,19 +114,19 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(f1), signed(f2), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "a", "b"])
 
 
-def _to_sets(batches):
+def _to_sets(batches, n_words: int):
     hashes, last, kept = WordHashes(), None, b""
     for batch in batches:
         sets = []
         for text in batch.column("text"):
             text = text.as_py()
             if text != last:
-                last, kept = text, shingle_set(text, hashes).tobytes()
+                last, kept = text, shingle_set(text, hashes, n_words).tobytes()
             sets.append(kept)
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("leader", "salt", "member", "own")] + [pa.array(sets, pa.binary())], names=["leader", "salt", "member", "own", "set"])
 
 
-def _compare(batches):
+def _compare(batches, percent: int):
     """Rows in order of leader and salt, a leader's own row first."""
     at, own = None, []
     for batch in batches:
@@ -136,14 +140,14 @@ def _compare(batches):
                 continue
             for mine in own:
                 both = len(np.intersect1d(mine, set_, assume_unique=True))
-                if 100 * both >= 80 * (len(mine) + len(set_) - both) and both:
+                if 100 * both >= percent * (len(mine) + len(set_) - both) and both:
                     leaders.append(leader)
                     members.append(member)
                     break
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(members, pa.int64())], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Those of pairs(leader, member) whose full sets link, as (a, b). texts: (id, text)."""
     spark, n_pairs = pairs.sparkSession, pairs.count()
     per_leader = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_PER_SALT).cast("int").alias("salts"))
@@ -152,19 +156,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = members.unionByName(owners)
     wanted = F.broadcast(wanted) if n_pairs <= MAX_BROADCAST_PAIRS else wanted
     fetched = texts.join(wanted, "id").select("leader", "salt", F.col("id").alias("member"), "own", F.col("text").cast("binary").alias("text"))
-    sets = fetched.mapInArrow(_to_sets, "leader long, salt int, member long, own boolean, set binary")
+    sets = fetched.mapInArrow(partial(_to_sets, n_words=n_words), "leader long, salt int, member long, own boolean, set binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", F.desc("own"))
     with small_batches(spark, 200):
-        return stored(dealt.mapInArrow(_compare, "a long, b long"))
+        return stored(dealt.mapInArrow(partial(_compare, percent=percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with small_batches(spark):
-        signed = stored(texts.select("id", F.col("text").cast("binary")).mapInArrow(_sign, "id long, n long, f1 long, f2 long, a array<long>, b array<long>"))
+        signed = stored(texts.select("id", F.col("text").cast("binary")).mapInArrow(partial(_sign, n_words=n_words), "id long, n long, f1 long, f2 long, a array<long>, b array<long>"))
     copies = Window.partitionBy("n", "f1", "f2").orderBy("id")
     reps = signed.where("n > 0 and id is not null").withColumn("rank", F.row_number().over(copies)).where("rank = 1").drop("rank")
     table = [F.xxhash64(F.lit(i * SIDE + j), F.get("a", F.lit(i)), F.get("b", F.lit(j))) for i in range(SIDE) for j in range(SIDE)]
@@ -173,9 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1"))
     # From here on only buckets of several members count.
     met = stored(keyed.join(shared, "key").select("key", "rep", "n", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")))
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * 80
+    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pairs = stored(met.where((F.col("rep") != F.col("leader")) & alike("n", "leader_n")).select("leader", F.col("rep").alias("member")).distinct())
-    links, tried = confirmed(pairs, texts), pairs
+    links, tried = confirmed(pairs, texts, n_words, percent), pairs
     comps = stored(components(links))
 
     for exact in (False, True):
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = stored(more.join(tried, ["leader", "member"], "left_anti"))
         if more.isEmpty():
             continue
-        found = confirmed(more, texts)
+        found = confirmed(more, texts, n_words, percent)
         tried = tried.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)

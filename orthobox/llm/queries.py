@@ -51,7 +51,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orthobox.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df that match no row of keys on keys' columns (null matches null). keys are broadcast if they are few enough,
+    so that wide rows of df stay where they are; else both sides are shuffled."""
+    k = keys.distinct().select([F.col(c).alias(f"_k{i}") for i, c in enumerate(keys.columns)])
+    same = [df[c].eqNullSafe(k[f"_k{i}"]) for i, c in enumerate(keys.columns)]
+    return df.join(F.broadcast(k) if keys.count() <= MAX_BROADCAST_KEYS else k, same, "left_anti")
