@@ -39,6 +39,18 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthobox.llm.substrings import without_repeated_words
+
+    return without_repeated_words(table(spark, sf_dir, "documents"), 20, digest=True)
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orthobox.llm.suffix_sort import without_repeated_bytes
+
+    return without_repeated_bytes(table(spark, sf_dir, "documents"), 50, digest=True)
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -78,6 +90,28 @@ SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, comp AS component_id, v.vec_
 FROM v JOIN (SELECT node, min(far) AS comp FROM r GROUP BY node) ON node = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a = v.vec_id
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM later),
+edge AS (SELECT doc_id, count(*) AS n_removed, count_if(q IS NULL OR q <> p - 1) AS n_spans FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS kept
+         FROM (SELECT doc_id, h, unnest(range(len(h) // 2)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN edge USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
@@ -128,9 +162,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
     "op4_html": op4_html,
+    "op5_substrings": op5_substrings,
+    "op6_suffixes": op6_suffixes,
     "op7_urls": op7_urls,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op2_embeddings": OP2_SQL, "op8_near_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_substrings": OP5_SQL, "op6_suffixes": OP6_SQL, "op8_near_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
