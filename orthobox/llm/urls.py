@@ -44,12 +44,15 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return out
 
 
-def grams(host: Column, path: Column) -> Column:
-    """One number a character of the URL, from it and the two before it: (two before * SYMBOLS + before) * SYMBOLS + it."""
-    codes = F.transform(F.filter(F.split(F.translate(F.lower(F.concat(host, path)), "123456789", "000000000"), ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    padded = F.concat(F.array(F.lit(START), F.lit(START)), codes)
-    at = F.when(F.size(codes) > 0, F.sequence(F.lit(0), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: (F.get(padded, i) * SYMBOLS + F.get(padded, i + 1)) * SYMBOLS + F.get(padded, i + 2))
+def with_grams(df: DataFrame) -> DataFrame:
+    """Adds grams, one number for each character of host and path, from it and the two before it:
+    (two before * SYMBOLS + before) * SYMBOLS + it. Each step is a column, so that none is computed anew for each character."""
+    flat = F.translate(F.lower(F.concat("host", "path")), "123456789", "000000000")
+    codes = F.transform(F.filter(F.split(flat, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    df = df.withColumn("_codes", F.concat(F.array(F.lit(START), F.lit(START)), codes))
+    at = F.when(F.size("_codes") > 2, F.sequence(F.lit(2), F.size("_codes") - 1)).otherwise(F.array().cast("array<int>"))
+    one = lambda i: (F.get("_codes", i - 2) * SYMBOLS + F.get("_codes", i - 1)) * SYMBOLS + F.get("_codes", i)
+    return df.withColumn("grams", F.transform(at, one)).drop("_codes")
 
 
 def fit(labelled: DataFrame) -> DataFrame:
@@ -103,15 +106,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     host, path = host_and_path(F.col(url_col))
     read = pages.withColumns({"host": host, "path": path})
     read = read.withColumn("fits", rule_column(F.col("host"), F.col("path"), rules))
-    examples = read.where(F.col("fits").isNotNull()).select(F.col("fits.verdict").alias("verdict"), grams(F.col("host"), F.col("path")).alias("grams"), (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("kept_out"))
+    examples = with_grams(read.where(F.col("fits").isNotNull()).select(F.col("fits.verdict").alias("verdict"), "host", "path"))
+    examples = examples.select("verdict", "grams", (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("kept_out"))
     kinds = {r["verdict"] for r in examples.where(~F.col("kept_out")).select("verdict").distinct().collect()}
     if kinds == {"allow", "block"}:
         # As text, which the optimizer folds into one array.
         ratio = F.split(F.lit(",".join(map(str, fit(examples.where(~F.col("kept_out"))).first()[0]))), ",").cast("array<int>")
         cut = threshold(examples.where("kept_out").select("verdict", score(F.col("grams"), ratio).alias("score")))
-        scored = score(grams(F.col("host"), F.col("path")), ratio)
+        out = with_grams(read).withColumn("score", score(F.col("grams"), ratio)).drop("grams")
     else:
-        cut, scored = 0.0, F.lit(0.0)
-    out = read.withColumn("score", scored)
+        cut, out = 0.0, read.withColumn("score", F.lit(0.0))
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
     return out.withColumns({"rule": F.col("fits.rule"), "verdict": F.coalesce(F.col("fits.verdict"), method)}).drop("fits")
