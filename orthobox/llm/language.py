@@ -5,7 +5,8 @@ texts. From each language at most MAX_TEXTS texts, those whose hash comes first,
 VOCABULARY most frequent words and GRAMS n-grams are kept, so the model has a bound that no input exceeds, and it is
 broadcast.
 
-A word of a text that the vocabulary knows is scored by its smoothed log frequency in each language. Any other word is scored
+A word of a text that the vocabulary knows is scored by its log frequency in each language; a language that lacks it counts
+it as half an occurrence in the language with most words, so that little data is no advantage. Any other word is scored
 by its n-grams of the longest length of which it has a known one: it backs off to progressively shorter n-grams. The score
 of a word from n-grams is the mean of theirs. A text's score for a language is the mean over its words; the best language
 is predicted, ties going to the first by name. `score` is the best language's share among exp(mean * SHARPNESS).
@@ -75,7 +76,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     for r in rows:
         totals[r["size"]][at[r["lang"]]] = r["all"]
         counts[r["size"]].setdefault(r["token"], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    tables = {s: {t: tuple(np.log((n + 0.5) / (totals[s] + 1)).tolist()) for t, n in c.items()} for s, c in counts.items()}
+    tables = {s: {t: tuple(np.log(np.where(n > 0, n / totals[s], 0.5 / totals[s].max())).tolist()) for t, n in c.items()} for s, c in counts.items()}
     return {"langs": langs, "tables": tables}
 
 
