@@ -328,3 +328,77 @@ def stream_ingest(spark, d):
     start_ingest(stream, encoder, f"{path}/store", f"{path}/state", EVENTS5, once=True).awaitTermination()
     found = search.range_search(spark.read.parquet(f"{path}/store"), BoxQuery(EVENTS5, {"hour": (3, 9)}), mode="rows")
     return found.select("pk", *EVENTS5.names)
+
+
+def _order_files(spark, d) -> str:
+    """Orders as headless delimited files: id, then raw attributes."""
+    from orthobox.queries_util import scratch
+
+    path, dates = scratch(spark), ORDERS4.at("orderdate").offset
+    raw = tables.orders4(spark, d).withColumn("orderdate", F.col("orderdate") + dates)
+    raw.repartition(4, "pk").write.csv(path)
+    return path
+
+
+@_register("csv_points", "SELECT * FROM p", "orders4")
+def csv_points(spark, d):
+    from orthobox.sources.files import read_csv
+
+    return read_csv(spark, _order_files(spark, d), ORDERS4)
+
+
+@_register("csv_skip_limit", "SELECT * FROM p ORDER BY pk LIMIT 500 OFFSET 1000", "orders4")
+def csv_skip_limit(spark, d):
+    """The reader's own skip and limit, by id."""
+    from orthobox.sources.files import read_csv
+
+    return read_csv(spark, _order_files(spark, d), ORDERS4, skip=1000, limit=500)
+
+
+@_register("csv_split_parts", "SELECT count(*)::BIGINT AS n, min(pk) AS low, max(pk) AS high FROM p", "orders4")
+def csv_split_parts(spark, d):
+    from orthobox.sources.files import read_split
+
+    return read_split(spark, _order_files(spark, d), ORDERS4).where("part is not null").agg(F.count("*").alias("n"), F.min("pk").alias("low"), F.max("pk").alias("high"))
+
+
+@_register("sharded_store_counts", "SELECT (pk % 8)::INTEGER AS shard, count(*)::BIGINT AS n FROM p WHERE totalprice >= 20000000 GROUP BY 1", "orders4")
+def sharded_store_counts(spark, d):
+    """A box over a store that is partitioned by shard, then compacted."""
+    from orthobox.queries_util import scratch
+
+    first, second = scratch(spark), scratch(spark)
+    points = tables.orders4(spark, d)
+    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 0"), 8), first, ORDERS4, 8, by_shard=True)
+    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 1"), 8), first, ORDERS4, 8, mode="append", by_shard=True)
+    layout.compact(spark, first, second, ORDERS4, 8)
+    found = search.range_search(spark.read.parquet(second), BoxQuery(ORDERS4, {"totalprice": (20000000, None)}), mode="rows")
+    return found.groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"))
+
+
+@_register("files_met", "SELECT 'clustered' AS layout, true AS fewer UNION ALL SELECT 'scattered', false")
+def files_met(spark, d):
+    """Whether the corpus boxes meet fewer than half of a store's files: clustered by key, and scattered."""
+    from orthobox.queries_util import scratch
+
+    points, out = tables.lineitem7(spark, d), []
+    for name in ("clustered", "scattered"):
+        path = scratch(spark)
+        if name == "clustered":
+            layout.write_clustered(points, path, LINEITEM7, 32)
+        else:
+            points.repartition(32).write.parquet(path)
+        ranges = layout.file_ranges(spark, path, LINEITEM7).cache()
+        share = sum(layout.files_met(ranges, b) for b in _CORPUS) / (len(_CORPUS) * ranges.count())
+        out.append((name, share < 0.5))
+    return spark.createDataFrame(out, "layout string, fewer boolean")
+
+
+@_register("mixed_workload")
+def mixed_workload(spark, d):
+    """(kind, operations, rows) of a seeded mix of inserts, lookups and searches."""
+    from orthobox.streaming.ingest import run_mixed
+
+    points = tables.orders4(spark, d)
+    done = run_mixed(spark, points.where("pk % 10 != 0"), points.where("pk % 10 = 0"), ORDERS4, (5, 95, 5), 200, rounds=2)
+    return spark.createDataFrame([(k, v["operations"], int(v["rows"])) for k, v in done.items()], "kind string, operations long, rows long")
