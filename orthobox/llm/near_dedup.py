@@ -6,12 +6,15 @@ key of one table. SIDE ** 2 tables thus take 2 * SIDE * WIDTH minhashes. A pair
 probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: with 8 and 2 that is 0.9994 at 0.8 and 0.9999 at 0.85.
 
 Documents with equal sets are one class from the start, represented by their smallest id, so groups of exact copies cost one
-row. All pairs of a bucket are never emitted. In a first round every member of a bucket is compared with the bucket's
-smallest member only; links make components. In a second round buckets that still hold several components compare members
-with another member chosen by a hash. Pairs that remain in one bucket but in different components are then compared each, so
-that no pair that met in a table goes unverified unless its ends are connected already. Comparisons fetch the texts of the
-documents concerned again; the pairs are broadcast only up to MAX_BROADCAST_PAIRS, else joined by a shuffle. The rows of a hot
-leader are salted.
+row. Pairs of a bucket are never emitted. First every member of a bucket is compared with the bucket's smallest member;
+links make components, and buckets that lie within one are done. Members of the other buckets are then gathered by the band
+of the first collection that the bucket's key holds (a group of more than BLOCK members is split into blocks, whose pairs are
+tasks), and inside a task all pairs that share a table and lie in different components are compared by their sets; a task
+returns only links that join components. So no pair that met in a table goes unverified unless its ends are connected
+already, and what is written is linear in the members.
+
+Comparisons fetch the texts of the documents concerned again; the list of these is broadcast only up to MAX_BROADCAST rows,
+else joined by a shuffle. The rows of a hot first member are salted.
 
 Cases: null, empty and blank texts have empty sets and link with nothing; a text of fewer than n_words words is one shingle; repeated rows link
 (equal sets); rows with null ids are kept and not linked; rows that share an id are one node; an empty table gives no rows;
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from orthobox.llm.shared import components, stored
 
 SIDE, WIDTH = 8, 2
-MAX_BROADCAST_PAIRS = 500_000
-MEMBERS_PER_SALT = 500
+MAX_BROADCAST = 500_000
+MEMBERS_PER_SALT, BLOCK = 500, 512
 CACHED_WORDS = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -154,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) ->
     members = pairs.join(per_leader, "leader").select(F.col("member").alias("id"), "leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own"))
     owners = per_leader.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"))
     wanted = members.unionByName(owners)
-    wanted = F.broadcast(wanted) if n_pairs <= MAX_BROADCAST_PAIRS else wanted
+    wanted = F.broadcast(wanted) if n_pairs <= MAX_BROADCAST else wanted
     fetched = texts.join(wanted, "id").select("leader", "salt", F.col("id").alias("member"), "own", F.col("text").cast("binary").alias("text"))
     sets = fetched.mapInArrow(partial(_to_sets, n_words=n_words), "leader long, salt int, member long, own boolean, set binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -163,6 +166,118 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) ->
         return stored(dealt.mapInArrow(partial(_compare, percent=percent), "a long, b long"))
 
 
+def _expand(batches, n_words: int):
+    """A document's set, once for each place (group, i, j) that it goes to."""
+    hashes = WordHashes()
+    names = ["group", "band", "i", "j", "block", "rep", "comp", "a", "b", "set"]
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in names}
+        for row in zip(*(batch.column(c).to_pylist() for c in ("places", "rep", "comp", "a", "b", "text"))):
+            places, rep, comp, a, b, text = row
+            set_ = shingle_set(text, hashes, n_words).tobytes()
+            for p in places:
+                for other in range(p["blocks"]):
+                    i, j = sorted((p["block"], other))
+                    for k, v in zip(names, (p["group"], p["band"], i, j, p["block"], rep, comp, a, b, set_)):
+                        out[k].append(v)
+        types = {"set": pa.binary(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64())} | dict.fromkeys(("band", "i", "j", "block"), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], types.get(k, pa.int64())) for k in names], names=names)
+
+
+def _joining_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """rows (band, i, j, block, rep, comp, a, b, set) of a pair of blocks of a group: links that join components."""
+    band, i, j = rows[0][:3]
+    comp, block = np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
+    a, b = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
+    sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+    size = np.array([len(x) for x in sets])
+    wanted = (comp[:, None] != comp[None, :]) & (np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * percent)
+    if i != j:
+        wanted &= block[:, None] != block[None, :]
+    meet = np.zeros_like(wanted)
+    for k in range(SIDE):
+        meet |= b[:, k][:, None] == b[:, k][None, :]
+    wanted &= meet
+    for k in range(band):  # compared in the group of that band
+        wanted &= a[:, k][:, None] != a[:, k][None, :]
+    left, right = np.nonzero(np.triu(wanted, 1))
+    if not len(left):
+        return []
+    if len(left) > 8 * len(rows):
+        both = _intersections(sets)[left, right]
+    else:
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left.tolist(), right.tolist())])
+    linked = 100 * both >= percent * (size[left] + size[right] - both)
+    parent = {c: c for c in comp.tolist()}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for x, y in zip(left[linked].tolist(), right[linked].tolist()):
+        p, q = root(int(comp[x])), root(int(comp[y]))
+        if p != q:
+            parent[p] = q
+            out.append((rows[x][4], rows[y][4]))
+    return out
+
+
+def _intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of all pairs' intersections, by products of slices of the 0-1 matrix of members and elements that recur."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    recurs = counts[column] > 1
+    owner, column = owner[recurs], number[column[recurs]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[part], column[part] - at] = 1
+        out += has @ has.T
+    return np.rint(out).astype(np.int64)
+
+
+def _compare_groups(batches, percent: int):
+    at, rows = None, []
+
+    def done():
+        links = _joining_links(rows, percent) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for group, *row in zip(*(batch.column(k).to_pylist() for k in range(10))):
+            if at != (group, *row[:3]):
+                if rows:
+                    yield done()
+                at, rows = (group, *row[:3]), []
+            rows.append(row)
+    if rows:
+        yield done()
+
+
+def joining_links(open_: DataFrame, reps: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """open_(rep, band, comp): members of buckets with several components. Links (a, b) between these components."""
+    spark = texts.sparkSession
+    members = open_.join(reps.select("id", "a", "b"), F.col("rep") == F.col("id")).drop("id")
+    members = stored(members.withColumn("group", F.xxhash64("band", F.get("a", "band"))))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    place = F.struct("group", "band", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    # A document has at most SIDE places.
+    goes = stored(members.join(sizes, "group").groupBy("rep", "comp").agg(F.collect_list(place).alias("places")).join(reps.select(F.col("id").alias("rep"), "a", "b"), "rep"))
+    goes = F.broadcast(goes) if goes.count() <= MAX_BROADCAST else goes
+    fetched = texts.join(goes, texts["id"] == goes["rep"]).select("places", "rep", "comp", "a", "b", F.col("text").cast("binary").alias("text"))
+    rows = fetched.mapInArrow(partial(_expand, n_words=n_words), "group long, band int, i int, j int, block int, rep long, comp long, a array<long>, b array<long>, set binary")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    with small_batches(spark, 200):
+        return stored(dealt.mapInArrow(partial(_compare_groups, percent=percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs."""
     spark = docs.sparkSession
@@ -170,37 +285,25 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     with small_batches(spark):
         signed = stored(texts.select("id", F.col("text").cast("binary")).mapInArrow(partial(_sign, n_words=n_words), "id long, n long, f1 long, f2 long, a array<long>, b array<long>"))
     copies = Window.partitionBy("n", "f1", "f2").orderBy("id")
-    reps = signed.where("n > 0 and id is not null").withColumn("rank", F.row_number().over(copies)).where("rank = 1").drop("rank")
-    table = [F.xxhash64(F.lit(i * SIDE + j), F.get("a", F.lit(i)), F.get("b", F.lit(j))) for i in range(SIDE) for j in range(SIDE)]
-    keys = stored(reps.select(F.col("id").alias("rep"), "n", F.array(*table).alias("keys")))
-    keyed = keys.select("rep", "n", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1"))
+    reps = stored(signed.where("n > 0 and id is not null").withColumn("rank", F.row_number().over(copies)).where("rank = 1").drop("rank"))
+    table = F.array(*[F.xxhash64(F.lit(i * SIDE + j), F.get("a", F.lit(i)), F.get("b", F.lit(j))) for i in range(SIDE) for j in range(SIDE)])
+    keyed = reps.select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), F.posexplode(table).alias("table", "key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     # From here on only buckets of several members count.
-    met = stored(keyed.join(shared, "key").select("key", "rep", "n", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")))
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pairs = stored(met.where((F.col("rep") != F.col("leader")) & alike("n", "leader_n")).select("leader", F.col("rep").alias("member")).distinct())
-    links, tried = confirmed(pairs, texts, n_words, percent), pairs
-    comps = stored(components(links))
-
-    for exact in (False, True):
-        in_comp = met.select("key", "rep", "n").join(comps, met["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed_keys = in_comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("rep"), "rep", "n", "comp")).alias("other")).where("low != high").select("key", "other")
-        rest = in_comp.join(mixed_keys, "key")
-        if exact:
-            rest = stored(rest.drop("other"))
-            x, y = rest.alias("x"), rest.alias("y")
-            more = x.join(y, "key").where((F.col("x.comp") < F.col("y.comp")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q"))
-        else:
-            more = rest.where((F.col("other.comp") != F.col("comp")) & alike(F.col("other.n"), F.col("n"))).select(F.col("other.rep").alias("p"), F.col("rep").alias("q"))
-        more = more.select(F.least("p", "q").alias("leader"), F.greatest("p", "q").alias("member")).distinct()
-        more = stored(more.join(tried, ["leader", "member"], "left_anti"))
-        if more.isEmpty():
-            continue
-        found = confirmed(more, texts, n_words, percent)
-        tried = tried.unionByName(more)
+    met = stored(keyed.join(shared, "key").select("key", F.floor(F.col("table") / SIDE).cast("int").alias("band"), "rep", "n", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")))
+    alike = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
+    pairs = stored(met.where((F.col("rep") != F.col("leader")) & alike).select("leader", F.col("rep").alias("member")).distinct())
+    comps = stored(components(confirmed(pairs, texts, n_words, percent)))
+
+    in_comp = met.select("key", "band", "rep").join(comps, met["rep"] == comps["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
+    several = in_comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low != high and members > 2").select("key")
+    # In a bucket of two the one pair has been compared already.
+    open_ = stored(in_comp.join(several, "key").select("rep", "band", "comp").distinct())
+    if not open_.isEmpty():
+        found = joining_links(open_, reps, texts, n_words, percent)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = stored(components(links))
+            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = stored(components(known.unionByName(found)))
 
     classes = reps.select("n", "f1", "f2", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))

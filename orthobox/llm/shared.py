@@ -51,27 +51,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b) by alternating large-star and small-star steps.
 
     Returns (node, component) for every node that has a link, component being its smallest reachable node. A hub is never
-    gathered: each step is a min per node and a join that AQE may split. Every step is written to the shared folder; it ends
-    when a step leaves all edges as they were. Empty links give no rows; loops and repeated links are harmless.
+    gathered: each step is a min per node and a join that AQE may split. Every round is written to the shared folder. It ends
+    when the edges are a star forest: no node has both a larger and a smaller neighbour, or two smaller ones. Empty links give
+    no rows; loops and repeated links are harmless.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    seen = None
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below"))
+        if least.where("m < u and (top > u or below > m)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct().withColumnRenamed("v", "node"))
+        large = both.where("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        new = stored(small)
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") < F.col("v"))).first()
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        new = stored(large.join(least, "u").select(ends.alias("e")).select("e.*").where("u != v").distinct())
         discard(edges)
         edges = new
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    raise RuntimeError("components did not settle")
 
 
 MAX_BROADCAST_KEYS = 1_000_000
