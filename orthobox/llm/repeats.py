@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
-GROUP_BYTES, BLOCK = 48_000_000, 1 << 19
+GROUP_BYTES, BLOCK = 16_000_000, 1 << 19
 LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -40,7 +41,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 @dataclass(frozen=True)
 class Plan:
     """symbols: text -> array of symbols; resolve: (pieces, in order of their first places; ids of their first documents) ->
-    for each piece a mask of windows that repeat earlier; same_document: whether an earlier start in the same document counts;
+    for each piece a mask of windows that repeat earlier, or None; same_document: whether an earlier start in the same document counts;
     finish: (text, symbols, mask of removed ones) -> the columns of a result row after the id; schema: of these."""
 
     length: int
@@ -216,23 +217,32 @@ def _resolve(plan: Plan, dtype: type):
         for row in range(table.num_rows):
             get = lambda name, kind, row=row: np.frombuffer(table.column(name)[row].as_py(), kind).tolist()
             part, content = table.column("part")[row].as_py(), table.column("content")[row].as_py()
-            places = zip(get("id", np.int64), get("ordinal", np.int32), get("at", np.int32))
-            begin = 0
+            places = list(zip(get("id", np.int64), repeat(part), get("ordinal", np.int32), get("at", np.int32)))
+            begin = at = 0
             for h, size, n in zip(get("hash", np.uint64), get("size", np.int32), get("n", np.int32)):
                 own = content[begin : begin + size]
                 begin += size
-                hash_of[own] = h
-                pieces.setdefault(own, []).extend((i, part, o, a) for i, o, a in (next(places) for _ in range(n)))
+                known = pieces.get(own)
+                if known is None:
+                    hash_of[own] = h
+                    pieces[own] = places[at : at + n]
+                else:
+                    known += places[at : at + n]
+                at += n
         by_hash: dict[int, list[bytes]] = {}
         for content, h in hash_of.items():
             by_hash.setdefault(h, []).append(content)
         mixed = [c for cs in by_hash.values() if len(cs) > 1 for c in cs]
-        order = sorted(mixed, key=lambda c: min(pieces[c]))
-        masks = dict(zip(order, plan.resolve([np.frombuffer(c, dtype) for c in order], [min(pieces[c])[0] for c in order], [hash_of[c] for c in order]))) if order else {}
+        del by_hash
+        firsts = {c: min(p) if len(p) > 1 else p[0] for c, p in pieces.items()}
+        order = sorted(mixed, key=firsts.__getitem__)
+        masks = dict(zip(order, plan.resolve([np.frombuffer(c, dtype) for c in order], [firsts[c][0] for c in order], [hash_of[c] for c in order]))) if order else {}
         width, n = np.dtype(dtype).itemsize, plan.length
         removed: dict[int, list] = {}
         for content, places in pieces.items():
-            size, first, mask = len(content) // width, min(places), masks.get(content)
+            size, first, mask = len(content) // width, firsts[content], masks.get(content)
+            if len(places) == 1 and mask is None:
+                continue
             for p in places:
                 if p != first if plan.same_document else p[0] > first[0]:
                     removed.setdefault(p[1], []).append((p[2], p[3], p[3] + size))

@@ -66,7 +66,7 @@ class BucketQueues:
                 for p in parts:
                     if isinstance(p, np.ndarray):
                         at = self.file.seek(0, 2)
-                        self.file.write(p.astype(np.int64).tobytes())
+                        self.file.write(p.astype(np.int32).tobytes())
                         p = (at, len(p))
                     kept.append(p)
                 self.chunks[c] = kept
@@ -77,12 +77,12 @@ class BucketQueues:
         for p in self.chunks[c]:
             if isinstance(p, tuple):
                 self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(8 * p[1]), np.int64)
+                p = np.frombuffer(self.file.read(4 * p[1]), np.int32)
             else:
                 self.held -= len(p)
             parts.append(p)
         self.chunks[c] = []
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
     def close(self) -> None:
         if self.file is not None:
@@ -93,18 +93,16 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S (less than its successor); the last one is."""
     n = len(t)
     differs = np.flatnonzero(t[1:] != t[:-1])
-    nxt = np.append(differs, n - 1)[np.searchsorted(differs, np.arange(n))]
-    out = np.ones(n, bool)
-    inner = nxt < n - 1
-    out[inner] = t[nxt[inner]] < t[nxt[inner] + 1]
-    return out
+    # Each run of equal symbols has the type of its last one.
+    rises = np.append(t[differs] < t[differs + 1], True)
+    return np.repeat(rises, np.diff(np.concatenate([[-1], differs, [n - 1]])))
 
 
 def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int) -> np.ndarray:
     """The order of all suffixes from that of the leftmost S suffixes (`seeds`)."""
     first = BucketQueues(memory)
     first.push(t[seeds], seeds)
-    queue, larger, least = BucketQueues(memory), [], [np.empty(0, np.int64)] * SYMBOLS
+    queue, larger, least = BucketQueues(memory), [], [np.empty(0, np.int32)] * SYMBOLS
 
     def pass_on(found: np.ndarray, want_s: bool, c: int) -> np.ndarray:
         """Queues the predecessors of `found` that have the wanted type; returns those that stay in bucket c."""
@@ -120,26 +118,26 @@ def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int) ->
         while len(wave):
             own.append(wave)
             wave = pass_on(wave, False, c)
-        larger.append(np.concatenate(own) if own else np.empty(0, np.int64))
+        larger.append(np.concatenate(own) if own else np.empty(0, np.int32))
         pass_on(first.pop(c), False, c)
     for c in range(SYMBOLS - 1, -1, -1):
         wave, own = queue.pop(c), []
         while len(wave):
             own.append(wave)
             wave = pass_on(wave, True, c)
-        s_down = np.concatenate(own) if own else np.empty(0, np.int64)
+        s_down = np.concatenate(own) if own else np.empty(0, np.int32)
         pass_on(larger[c][::-1], True, c)
         least[c] = s_down[::-1]
     first.close()
     queue.close()
     # The last suffix is no one's predecessor: it is the least of all.
-    return np.concatenate([np.array([len(t) - 1]), *[x for c in range(SYMBOLS) for x in (larger[c], least[c])]])
+    return np.concatenate([np.array([len(t) - 1], np.int32), *[x for c in range(SYMBOLS) for x in (larger[c], least[c])]])
 
 
 def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
     """Suffixes of t, whose last symbol is the only END, sorted at least by their first `depth` symbols."""
     s_type = _types(t)
-    starts = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    starts = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
     if len(starts) <= 1:
         return induce(t, s_type, starts, memory)
     once = induce(t, s_type, starts, memory)
@@ -147,8 +145,9 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
     is_start[starts] = True
     ranked = once[is_start[once]]
     # Name substrings from one start to the next, in their order; equal ones share a name.
+    del once, is_start
     end = np.append(starts[1:], len(t) - 1)
-    size = np.zeros(len(t), np.int64)
+    size = np.zeros(len(t), np.int32)
     size[starts] = end - starts + 1
     a, b = ranked[:-1], ranked[1:]
     same = size[a] == size[b]
@@ -157,9 +156,10 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
         if not len(live):
             break
         same[live] = t[a[live] + k] == t[b[live] + k]
-    name = np.zeros(len(t), np.int64)
+    name = size  # no longer needed
     name[ranked] = np.concatenate([[0], np.cumsum(~same)])
-    rank, span = name[starts], 1
+    rank, span = name[starts].astype(np.int64), 1
+    del size, name, ranked, a, b, same
     while rank.max() + 1 < len(rank) and span < depth:
         nxt = np.zeros(len(rank), np.int64)
         nxt[:-span] = rank[span:] + 1
@@ -172,16 +172,22 @@ def equal_windows(pieces: list[np.ndarray], length: int, memory: int = MEMORY) -
     """Windows of `length` bytes in the pieces: (piece, offset, class), equal windows having equal classes."""
     sizes = np.array([len(p) for p in pieces])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     t = np.full(starts[-1] + 1, GAP, np.uint16)
-    for at, p in zip(starts, pieces):
-        t[at : at + len(p)] = p.astype(np.uint16) + 2
+    place = np.arange(len(owner)) + owner
+    t[place] = np.concatenate(pieces).astype(np.uint16) + 2
     t[-1] = END
+    # Windows left in the piece from each place; none at separators.
+    left = np.zeros(len(t), np.int32)
+    left[place] = starts[owner] + sizes[owner] - place
+    of = np.zeros(len(t), np.int32)
+    of[place] = owner
+    del owner, place
     order = suffix_order(t, length, memory)
-    piece = np.searchsorted(starts, order, "right") - 1
+    order = order[left[order] >= length]
+    piece = of[order]
     offset = order - starts[piece]
-    whole = piece < len(pieces)
-    whole[whole] = offset[whole] + length <= sizes[piece[whole]]
-    order, piece, offset = order[whole], piece[whole], offset[whole]
+    del left, of
     # Common-prefix values of neighbours, capped: they count only if all of `length` bytes agree.
     raw = np.append(t, np.zeros(8, np.uint16)).astype(np.uint8)  # shifted bytes, modulo 256, still tell bytes apart
     word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
@@ -193,15 +199,18 @@ def equal_windows(pieces: list[np.ndarray], length: int, memory: int = MEMORY) -
 
 
 def _resolver(length: int, memory: int):
-    def resolve(pieces: list[np.ndarray], ids: list[int], hashes: list[int]) -> list[np.ndarray]:
+    def resolve(pieces: list[np.ndarray], ids: list[int], hashes: list[int]) -> list[np.ndarray | None]:
         piece, offset, kind = equal_windows(pieces, length, memory)
         ids = np.array(ids, np.int64)
         least = np.full(int(kind.max()) + 1 if len(kind) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, kind, ids[piece])
-        masks = [np.zeros(len(p) - length + 1, bool) for p in pieces]
+        first = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in pieces])])
+        flat = np.zeros(first[-1], bool)
         hit = np.flatnonzero(least[kind] < ids[piece])
-        for k, o in zip(piece[hit].tolist(), offset[hit].tolist()):
-            masks[k][o] = True
+        flat[first[piece[hit]] + offset[hit]] = True
+        some = np.zeros(len(pieces), bool)
+        some[piece[hit]] = True
+        masks = [flat[a:z] if any_ else None for a, z, any_ in zip(first[:-1].tolist(), first[1:].tolist(), some.tolist())]
         return masks
 
     return resolve
