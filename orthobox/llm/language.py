@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
-MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 60_000, 60_000, 4, 1.0
+MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 20_000, 15_000, 4, 1.0
 KNOWN_WORDS = 300_000  # entries of the cache of scored words, in a worker
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,15 +68,20 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     total = Window.partitionBy("lang", "size")
     best = F.row_number().over(total.orderBy(F.desc("n"), "token"))
     kept = counted.withColumn("all", F.sum("n").over(total)).withColumn("rank", best).where(F.col("rank") <= F.when(F.col("size") == 0, VOCABULARY).otherwise(GRAMS))
-    rows = kept.select("lang", "size", "token", "n", "all").collect()  # at most languages * (VOCABULARY + GRAMS * 3) rows
-    langs = sorted({r["lang"] for r in rows})
+    # At most languages * (VOCABULARY + GRAMS * (MAX_GRAM - 1)) rows, as columns rather than as Row objects.
+    rows = kept.select("lang", "size", "token", "n", "all").toArrow()
+    langs = sorted(set(rows.column("lang").to_pylist()))
     at = {lang: k for k, lang in enumerate(langs)}
-    totals: dict[int, np.ndarray] = {s: np.ones(len(langs)) for s in (0, *range(2, MAX_GRAM + 1))}
-    counts: dict[int, dict[str, np.ndarray]] = {s: {} for s in totals}
-    for r in rows:
-        totals[r["size"]][at[r["lang"]]] = r["all"]
-        counts[r["size"]].setdefault(r["token"], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    tables = {s: {t: tuple(np.log(np.where(n > 0, n / totals[s], 0.5 / totals[s].max())).tolist()) for t, n in c.items()} for s, c in counts.items()}
+    totals: dict[int, list[int]] = {s: [1] * len(langs) for s in (0, *range(2, MAX_GRAM + 1))}
+    counts: dict[int, dict[str, list[int]]] = {s: {} for s in totals}
+    for lang, size, token, n, all_ in zip(*(c.to_pylist() for c in rows.columns)):
+        totals[size][at[lang]] = all_
+        counts[size].setdefault(token, [0] * len(langs))[at[lang]] = n
+    del rows
+    tables: dict[int, dict[str, tuple]] = {}
+    for s in totals:
+        floor, c = math.log(0.5 / max(totals[s])) if langs else 0.0, counts.pop(s)
+        tables[s] = {t: tuple(math.log(x / k) if x else floor for x, k in zip(n, totals[s])) for t, n in c.items()}
     return {"langs": langs, "tables": tables}
 
 
