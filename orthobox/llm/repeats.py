@@ -8,23 +8,31 @@ windows with one anchor is a piece: at most 2 * length - gram symbols. A window
    to the shard that the rest of the hash names;
 2. a shard finds hashes that several groups sent, and answers each group with one bit a hash;
 3. groups send the pieces of repeated anchors to their shards, equal pieces of a group once, with their places;
-4. a shard thus holds every piece of its anchors. Equal pieces are merged; where an anchor has several different pieces, a
+4. a shard thus gets every piece of its anchors. Equal pieces are merged; where an anchor has several different pieces, a
    `resolve` function (a suffix automaton, a suffix array) finds the windows that they share. The places to remove are sent
    back to the groups;
 5. groups remove them from their texts.
 
 Nothing but text moves in proportion to the text; it is shuffled once, as the three uses of it share one exchange. Copies are
 collapsed within a group before they move, so an anchor that stands in a third of all documents reaches its shard at most
-once a group. Groups and shards hold GROUP_BYTES of text each, however large the corpus.
+once a group. Groups hold GROUP_BYTES of text each, however large the corpus, and shards get as much on average.
+
+A shard may be far larger than that, as an anchor may stand in any number of different pieces (a frequent line between texts
+that vary). A shard is read as a stream and kept in a scratch file of its task beyond SPOOL_BYTES. It is read twice: once for
+the different pieces and their first places, once for the places to remove. If the different pieces exceed HELD_BYTES, they are
+dealt to smaller files by their anchors. An anchor whose pieces exceed Plan.most symbols is split: each piece is cut anew,
+by the rarest gram of each window among all pieces of the anchor, and if that does not help, into single windows. Equal windows
+meet in one file at each step, so results do not depend on any of these sizes.
 
 Documents are ordered by id; rows without an id come last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,8 @@ from pyspark.sql import functions as F
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
 GROUP_BYTES, BLOCK = 16_000_000, 1 << 19
+SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 64_000_000, 48_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
+COUNT_BITS = 20
 LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -42,7 +52,8 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 class Plan:
     """symbols: text -> array of symbols; resolve: (pieces, in order of their first places; ids of their first documents) ->
     for each piece a mask of windows that repeat earlier, or None; same_document: whether an earlier start in the same document counts;
-    finish: (text, symbols, mask of removed ones) -> the columns of a result row after the id; schema: of these."""
+    finish: (text, symbols, mask of removed ones) -> the columns of a result row after the id; schema: of these; most: symbols
+    that resolve gets at a time, all pieces of an anchor among them."""
 
     length: int
     gram: int
@@ -51,6 +62,7 @@ class Plan:
     same_document: bool
     finish: Callable
     schema: str
+    most: int
 
 
 def gram_hashes(s: np.ndarray, gram: int) -> np.ndarray:
@@ -67,13 +79,15 @@ def gram_hashes(s: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pieces_of(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For symbols of documents that end at `ends`: (hash of the anchor, first window, last window) of every piece."""
+def pieces_of(s: np.ndarray, ends: np.ndarray, length: int, gram: int, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For symbols of documents that end at `ends`: (hash of the anchor, first window, last window) of every piece. With
+    `count`, the number of grams by the upper bits of their hashes, rarer grams come first as anchors."""
     none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     if len(s) < length:
         return none
     h = gram_hashes(s, gram)
-    least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
+    rank = h if count is None else np.frexp(count[h >> np.uint64(64 - COUNT_BITS)])[1].astype(np.uint64) << np.uint64(58) | (h & np.uint64((1 << 44) - 1)) << np.uint64(14)
+    least = (rank & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
     span, width = 1, length - gram + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -175,82 +189,235 @@ def _send_pieces(plan: Plan, shards: int):
             n = cuts[q + 1] - cuts[q]
             wanted[cuts[q] : cuts[q + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
         repeated = own[wanted]
-        found: dict[bytes, list] = {}
-        for (s, ordinals, ends, h, first, last), k in zip(blocks, keys):
+        found: dict[bytes, int] = {}  # content -> its number
+        parts: list[tuple] = []
+        for j, k in enumerate(keys):
+            s, ordinals, ends, h, first, last = blocks[j]
+            blocks[j] = None
             at = np.searchsorted(repeated, k)
             pick = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == k) if len(repeated) else np.empty(0, int)
             doc = np.searchsorted(ends, first[pick], "right")
             begin = np.concatenate([[0], ends])[doc]
+            ordinal, shift = np.array([o if isinstance(o, tuple) else (o, 0) for o in ordinals], np.int64).reshape(-1, 2)[doc].T
             raw, width = s.tobytes(), s.itemsize
-            for a, z, d, b, x in zip(first[pick].tolist(), last[pick].tolist(), doc.tolist(), begin.tolist(), h[pick].tolist()):
-                content = raw[a * width : (z + plan.length) * width]
-                o, shift = ordinals[d] if isinstance(ordinals[d], tuple) else (ordinals[d], 0)
-                own_places = found.get(content)
-                if own_places is None:
-                    found[content] = own_places = [x]
-                own_places.append((o, a - b + shift))
-        by_shard: dict[int, list] = {}
-        for content, places in found.items():
-            by_shard.setdefault((places[0] >> 32) % shards, []).append((places[0], content, places[1:]))
+            number = [found.setdefault(raw[a * width : (z + plan.length) * width], len(found)) for a, z in zip(first[pick].tolist(), last[pick].tolist())]
+            parts.append((np.array(number, np.int64), h[pick], ordinal.astype(np.int32), (first[pick] - begin + shift).astype(np.int32)))
+        del blocks, keys
+        number, h, ordinal, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, t) for t in (np.int64, np.uint64, np.int32, np.int32))
+        del parts
+        contents = list(found)
+        found.clear()
+        # Contents by shard, each with its places in order.
+        n = np.bincount(number, minlength=len(contents)).astype(np.int32)
+        own_hash = np.zeros(len(contents), np.uint64)
+        own_hash[number] = h
+        to = ((own_hash >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        by_shard = np.argsort(to, kind="stable")
+        rank = np.empty(len(contents), np.int64)
+        rank[by_shard] = np.arange(len(contents))
+        order = np.argsort(rank[number], kind="stable")
+        ordinal, at = ordinal[order], at[order]
+        cuts = np.searchsorted(to[by_shard], np.arange(shards + 1))
+        places = np.concatenate([[0], np.cumsum(n[by_shard])])
         ids = np.array([LAST if i is None else i for i in group.ids], np.int64)
         out = {name: [] for name in ("shard", "part", "hash", "size", "n", "id", "ordinal", "at", "content")}
-        for q, rows in by_shard.items():
-            places = np.array([p for r in rows for p in r[2]], np.int64).reshape(-1, 2)
+        for q in range(shards):
+            rows = by_shard[cuts[q] : cuts[q + 1]]
+            if not len(rows):
+                continue
+            here = slice(places[cuts[q]], places[cuts[q + 1]])
+            own = [contents[k] for k in rows.tolist()]
             out["shard"].append(q)
             out["part"].append(key[0].as_py())
-            out["hash"].append(np.array([r[0] for r in rows], np.uint64).tobytes())
-            out["size"].append(np.array([len(r[1]) for r in rows], np.int32).tobytes())
-            out["n"].append(np.array([len(r[2]) for r in rows], np.int32).tobytes())
-            out["id"].append(ids[places[:, 0]].tobytes())
-            out["ordinal"].append(places[:, 0].astype(np.int32).tobytes())
-            out["at"].append(places[:, 1].astype(np.int32).tobytes())
-            out["content"].append(b"".join(r[1] for r in rows))
+            out["hash"].append(own_hash[rows].tobytes())
+            out["size"].append(np.array([len(c) for c in own], np.int32).tobytes())
+            out["n"].append(n[rows].tobytes())
+            out["id"].append(ids[ordinal[here]].tobytes())
+            out["ordinal"].append(ordinal[here].tobytes())
+            out["at"].append(at[here].tobytes())
+            out["content"].append(b"".join(own))
         return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "part") else pa.large_binary() if k == "content" else pa.binary()) for k, v in out.items()}).cast(pa.schema([(k, pa.int32() if k in ("shard", "part") else pa.binary()) for k in out]))
 
     return run
 
 
+class Spool:
+    """Rows of pieces (part, hash, size, n, id, ordinal, at, content), a scratch file of the task beyond SPOOL_BYTES."""
+
+    def __init__(self):
+        self.file, self.rows, self.hash, self.several = tempfile.SpooledTemporaryFile(SPOOL_BYTES), 0, None, False
+
+    def add(self, part: int, h: np.ndarray, size: np.ndarray, n: np.ndarray, places: tuple, content: bytes) -> None:
+        if not len(h):
+            return
+        self.hash = h[0] if self.hash is None else self.hash
+        self.several = self.several or bool((h != self.hash).any())
+        pickle.dump((part, h, size, n, *places, content), self.file, 5)
+        self.rows += 1
+
+    def __iter__(self):
+        self.file.seek(0)
+        for _ in range(self.rows):
+            part, h, size, n, id_, ordinal, at, content = pickle.load(self.file)
+            yield part, h, size, n, (id_, ordinal, at), content
+
+    def deal(self, other: Callable, keys: int) -> list["Spool"]:
+        """Pieces dealt to `keys` spools by the number that other(hashes) gives; negative ones to none."""
+        out = [Spool() for _ in range(keys)]
+        for part, h, size, n, places, content in self:
+            to = other(h)
+            ends, of_place = np.cumsum(size), np.repeat(to, n)
+            for q in np.unique(to[to >= 0]).tolist():
+                pick = np.flatnonzero(to == q)
+                own = b"".join([content[e - w : e] for e, w in zip(ends[pick].tolist(), size[pick].tolist())])
+                out[q].add(part, h[pick], size[pick], n[pick], tuple(p[of_place == q] for p in places), own)
+        return out
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _cut_anew(spool: Spool, plan: Plan, dtype: type, windows: bool) -> Spool:
+    """The pieces of an anchor cut by the rarest gram of each window, or into single windows."""
+    width, out = np.dtype(dtype).itemsize, Spool()
+
+    def rows():
+        for part, _, size, n, places, content in spool:
+            ends, cuts = np.cumsum(size) // width, np.cumsum(n)
+            step = max(1, (1 << 20) * width // int(size.max()))
+            for k in range(0, len(size), step):
+                a, e = int(ends[k] - size[k] // width), ends[k : k + step]
+                own = content[a * width : int(e[-1]) * width]
+                yield part, np.frombuffer(own, dtype), e - a, n[k : k + step], tuple(p[int(cuts[k] - n[k]) : int(cuts[min(k + step, len(n)) - 1])] for p in places), own
+
+    count = None
+    if not windows:
+        count = np.zeros(1 << COUNT_BITS, np.int64)
+        for _, s, _, _, _, _ in rows():
+            np.add.at(count, gram_hashes(s, plan.gram) >> np.uint64(64 - COUNT_BITS), 1)
+    for part, s, ends, n, (id_, ordinal, at), raw in rows():
+        if windows:
+            begin = np.concatenate([[0], ends[:-1]])
+            first = np.concatenate([np.arange(b, e - plan.length + 1) for b, e in zip(begin.tolist(), ends.tolist())])
+            h, last = gram_hashes(s, plan.gram), first
+            h = h[first] * _A ^ (h[first + plan.length - plan.gram] >> np.uint64(7)) * _B
+            for k in range(plan.gram, plan.length - plan.gram, plan.gram):
+                h = (h ^ h >> np.uint64(31)) * _C + gram_hashes(s[k:], plan.gram)[first]
+        else:
+            h, first, last = pieces_of(s, ends, plan.length, plan.gram, count)
+        piece = np.searchsorted(ends, first, "right")
+        shift = first - np.concatenate([[0], ends])[piece]
+        begin = (np.cumsum(n) - n)[piece]
+        copies = n[piece]
+        index = np.repeat(begin - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
+        size = ((last - first + plan.length) * width).astype(np.int32)
+        own = b"".join([raw[a * width : a * width + w] for a, w in zip(first.tolist(), size.tolist())])
+        out.add(part, h, size, copies, (id_[index], ordinal[index], at[index] + np.repeat(shift, copies).astype(np.int32)), own)
+    return out
+
+
+def _solve(spool: Spool, plan: Plan, dtype: type, depth: int = 0, cuts: int = 0):
+    """(part, ordinal, first symbol, end) of what the pieces of the spool remove. Closes the spool."""
+    width = np.dtype(dtype).itemsize
+    known: dict[bytes, tuple] = {}  # content -> (*first place, hash)
+    own: dict[int, int] = {}  # bytes of the different pieces of each hash
+    held = 0
+    for part, h, size, n, (id_, ordinal, at), content in spool:
+        begin, first = 0, np.cumsum(n) - n  # the places of a piece in a group are in order
+        for x, w, i, o, a in zip(h.tolist(), size.tolist(), id_[first].tolist(), ordinal[first].tolist(), at[first].tolist()):
+            c = content[begin : begin + w]
+            begin += w
+            place = (i, part, o, a, x)
+            old = known.get(c)
+            if old is None:
+                known[c] = place
+                own[x] = own.get(x, 0) + w
+                held += w
+            elif place < old:
+                known[c] = place
+        if held > HELD_BYTES and (spool.several or cuts < 2):
+            break
+    hot = [x for x, w in own.items() if w > plan.most * width] if cuts < 2 else []
+    if held > HELD_BYTES and (spool.several or cuts < 2) or hot:
+        del known, own
+        if not spool.several:
+            new = _cut_anew(spool, plan, dtype, cuts > 0)
+            spool.close()
+            yield from _solve(new, plan, dtype, depth, cuts + 1)
+            return
+        if held > HELD_BYTES:
+            salt = np.uint64(2 * depth + 1)
+            parts = spool.deal(lambda h: ((h * _B * salt ^ h >> np.uint64(29)) * _C >> np.uint64(40)).astype(np.int64) % FAN, FAN)
+        else:
+            hot = np.sort(np.array(hot, np.uint64))
+            parts = spool.deal(lambda h: np.where(hot[(at := np.minimum(np.searchsorted(hot, h), len(hot) - 1))] == h, at, len(hot)), len(hot) + 1)
+        spool.close()
+        for p in parts:
+            yield from _solve(p, plan, dtype, depth + 1, cuts)
+        return
+    del own
+    by_hash: dict[int, list[bytes]] = {}
+    for c, place in known.items():
+        by_hash.setdefault(place[4], []).append(c)
+    masks: dict[bytes, np.ndarray | None] = {}
+    chunk, size = [], 0
+
+    def resolve():
+        chunk.sort(key=known.__getitem__)
+        masks.update(zip(chunk, plan.resolve([np.frombuffer(c, dtype) for c in chunk], [known[c][0] for c in chunk], [known[c][4] for c in chunk])))
+
+    for cs in by_hash.values():
+        if len(cs) > 1:
+            more = sum(map(len, cs)) // width
+            if chunk and size + more > plan.most:
+                resolve()
+                chunk, size = [], 0
+            chunk += cs
+            size += more
+    if chunk:
+        resolve()
+    del by_hash, chunk
+    for part, _, size, n, (id_, ordinal, at), content in spool:
+        begin = k = 0
+        id_, ordinal, at = id_.tolist(), ordinal.tolist(), at.tolist()
+        for w, m in zip(size.tolist(), n.tolist()):
+            c = content[begin : begin + w]
+            begin += w
+            first, mask = known[c][:4], masks.get(c)
+            edge = None
+            for j in range(k, k + m):
+                if (id_[j], part, ordinal[j], at[j]) != first if plan.same_document else id_[j] > first[0]:
+                    yield part, ordinal[j], at[j], at[j] + w // width
+                elif mask is not None:
+                    if edge is None:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+                    for a, z in zip(edge[::2], edge[1::2]):
+                        yield part, ordinal[j], at[j] + a, at[j] + z - 1 + plan.length
+            k += m
+    spool.close()
+
+
 def _resolve(plan: Plan, dtype: type):
-    def run(key, table):
-        pieces: dict[bytes, list] = {}  # content -> places (id, part, ordinal, at)
-        hash_of: dict[bytes, int] = {}
-        for row in range(table.num_rows):
-            get = lambda name, kind, row=row: np.frombuffer(table.column(name)[row].as_py(), kind).tolist()
-            part, content = table.column("part")[row].as_py(), table.column("content")[row].as_py()
-            places = list(zip(get("id", np.int64), repeat(part), get("ordinal", np.int32), get("at", np.int32)))
-            begin = at = 0
-            for h, size, n in zip(get("hash", np.uint64), get("size", np.int32), get("n", np.int32)):
-                own = content[begin : begin + size]
-                begin += size
-                known = pieces.get(own)
-                if known is None:
-                    hash_of[own] = h
-                    pieces[own] = places[at : at + n]
-                else:
-                    known += places[at : at + n]
-                at += n
-        by_hash: dict[int, list[bytes]] = {}
-        for content, h in hash_of.items():
-            by_hash.setdefault(h, []).append(content)
-        mixed = [c for cs in by_hash.values() if len(cs) > 1 for c in cs]
-        del by_hash
-        firsts = {c: min(p) if len(p) > 1 else p[0] for c, p in pieces.items()}
-        order = sorted(mixed, key=firsts.__getitem__)
-        masks = dict(zip(order, plan.resolve([np.frombuffer(c, dtype) for c in order], [firsts[c][0] for c in order], [hash_of[c] for c in order]))) if order else {}
-        width, n = np.dtype(dtype).itemsize, plan.length
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spool = Spool()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(name)[row].as_py(), kind)  # noqa: B023, E731
+                spool.add(batch.column("part")[row].as_py(), get("hash", np.uint64), get("size", np.int32), get("n", np.int32), (get("id", np.int64), get("ordinal", np.int32), get("at", np.int32)), batch.column("content")[row].as_py())
         removed: dict[int, list] = {}
-        for content, places in pieces.items():
-            size, first, mask = len(content) // width, firsts[content], masks.get(content)
-            if len(places) == 1 and mask is None:
-                continue
-            for p in places:
-                if p != first if plan.same_document else p[0] > first[0]:
-                    removed.setdefault(p[1], []).append((p[2], p[3], p[3] + size))
-                elif mask is not None and mask.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    removed.setdefault(p[1], []).extend((p[2], p[3] + a, p[3] + z - 1 + n) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()))
-        parts = sorted(removed)
-        return pa.table({"part": pa.array(parts, pa.int32()), "spans": pa.array([np.array(removed[p], np.int32).tobytes() for p in parts], pa.binary())})
+
+        def batch_of():
+            parts = sorted(removed)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.array(removed[p], np.int32).tobytes() for p in parts], pa.binary())], ["part", "spans"])
+
+        found = 0
+        for part, *span in _solve(spool, plan, dtype):
+            removed.setdefault(part, []).extend(span)
+            found += 1
+            if found == SPANS:
+                yield batch_of()
+                removed, found = {}, 0
+        yield batch_of()
 
     return run
 

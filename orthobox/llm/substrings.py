@@ -112,5 +112,5 @@ def without_repeated_words(docs: DataFrame, length: int = 20, gram: int = 10, id
         n, gone, kept = _result(text, make, mask)
         return n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
-    plan = Plan(length, gram, _words, _resolver(length), True, finish, f"n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
+    plan = Plan(length, gram, _words, _resolver(length), True, finish, f"n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string", 1 << 30)
     return remove_repeats(docs, plan, np.uint64, id_col, text_col)

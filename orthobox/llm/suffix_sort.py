@@ -8,8 +8,9 @@ other, with separators, and their suffixes are sorted by induction:
   S suffixes is induced by scanning the buckets up and down, each suffix passing its predecessor to the bucket of that one's
   first symbol;
 - buckets are priority queues on the first symbol that keep arrival order. A queue holds at most `memory` entries; beyond
-  that, batches go to a scratch file of the task and are read back when their bucket's turn comes, so a shard may be far
-  larger than memory. The tuples that pass through carry the position and the symbols that the next steps compare;
+  that, batches go to a scratch file of the task and are read back when their bucket's turn comes. The text that is sorted and
+  the order that comes out are arrays in memory, of MOST bytes at a time: a shard far larger than that is spooled to a scratch
+  file and sorted in parts that share no window (see repeats.py);
 - substrings between leftmost S suffixes are named in the order that a first induction gives, and the string of names is
   sorted recursively: by induction of ranks over doubled spans, until names are unique or cover `length` bytes, which is as
   deep as windows are compared;
@@ -18,7 +19,7 @@ other, with separators, and their suffixes are sorted by induction:
 
 All steps are on arrays, one bucket at a time.
 
-The scratch file lives in the task that wrote it, is read by no other and is deleted before it ends.
+Scratch files live in the task that wrote them, are read by no other and are deleted before it ends.
 
 Cases: null and empty texts have no bytes and nothing removed; rows that share an id do not remove each other's bytes; rows
 without an id count as last; an empty table gives no rows; extra columns are not read.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 
 from orthobox.llm.repeats import Plan, remove_repeats
 
+MOST = 1_000_000  # bytes that are sorted at a time; an anchor with more is split (see repeats.py)
 MEMORY = 8_000_000  # entries that the queues of a task hold before they use the disk
 END, GAP, SYMBOLS = 0, 1, 258  # bytes are shifted by 2
 
@@ -235,5 +237,5 @@ def without_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, id
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         return len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest() if digest else kept
 
-    plan = Plan(length, gram, _bytes, _resolver(length, memory), False, finish, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    plan = Plan(length, gram, _bytes, _resolver(length, memory), False, finish, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}", MOST)
     return remove_repeats(docs, plan, np.uint8, id_col, text_col)

@@ -187,3 +187,27 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert raw.count() == odd.count() and without_repeated_bytes(none).count() == 0
     gone = {r["doc_id"]: r["n_removed"] for r in raw.collect()}
     assert gone[8] == 0 and gone[1] == 0 and gone[2] > 100 and gone[12] == 0
+
+
+def _hot_line(n, line, join):
+    rng = random.Random(7)
+    text = lambda: join.join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(25))
+    return [(k, join.join([text(), line, text()])) for k in range(n)]
+
+
+@pytest.mark.parametrize("held", [10**7, 6000])
+def test_hot_line_is_sorted_in_bounded_parts(spark, monkeypatch, held):
+    most, sort = 3000, suffix_sort.equal_windows
+
+    def bounded(pieces, *rest):
+        assert sum(map(len, pieces)) <= most
+        return sort(pieces, *rest)
+
+    monkeypatch.setattr(suffix_sort, "equal_windows", bounded)
+    monkeypatch.setattr(suffix_sort, "MOST", most, raising=False)
+    monkeypatch.setattr(repeats, "HELD_BYTES", held, raising=False)
+    monkeypatch.setattr(repeats, "SPOOL_BYTES", held, raising=False)
+    rows = _hot_line(300, "a line that stands in every document of the corpus, between words that are never the same", " ")
+    want = _brute(rows, lambda t: t.encode(), bytes, 50, False)
+    got = without_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 50, digest=True).collect()
+    assert {r["doc_id"]: [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])] for r in got} == want
