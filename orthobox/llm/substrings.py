@@ -6,7 +6,8 @@ reference is therefore cut into shards by window content (see repeats.py), and w
 instead. In a shard the different pieces with a common anchor are taken in order of their first places. Each is streamed
 through the suffix automaton of those before it: the matching statistic of a position is the length of the longest suffix
 that occurs in them, and where it reaches `length` the window that ends there has occurred earlier. Then the piece is added
-to the automaton. Overlapping windows make the maximal spans.
+to the automaton. Overlapping windows make the maximal spans. An automaton is bounded by MOST words: an anchor with more is split
+into parts that share no window, each with an automaton of its own, so a hot phrase in varying text does not make it grow.
 
 Cases: null and empty texts have no words and nothing removed; rows that share an id count as one document, in order of their
 texts; rows without an id come last; an empty table gives no rows; extra columns are not read.
@@ -23,6 +24,9 @@ from orthobox.llm.near_dedup import WordHashes
 from orthobox.llm.repeats import Plan, remove_repeats
 
 
+MOST = 1 << 18  # words of an automaton, about 100 MB; an anchor with more is split (see repeats.py)
+
+
 class SuffixAutomaton:
     """Of several sequences of hashable symbols."""
 
@@ -112,5 +116,5 @@ def without_repeated_words(docs: DataFrame, length: int = 20, gram: int = 10, id
         n, gone, kept = _result(text, make, mask)
         return n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
-    plan = Plan(length, gram, _words, _resolver(length), True, finish, f"n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string", 1 << 30)
+    plan = Plan(length, gram, _words, _resolver(length), True, finish, f"n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string", MOST)
     return remove_repeats(docs, plan, np.uint64, id_col, text_col)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from orthobox.llm import embeddings, near_dedup, repeats, suffix_sort
+from orthobox.llm import embeddings, near_dedup, repeats, substrings, suffix_sort
 from orthobox.llm.shared import components
 from orthobox.llm.substrings import SuffixAutomaton, without_repeated_words
 from orthobox.llm.suffix_sort import without_repeated_bytes
@@ -211,3 +211,22 @@ def test_hot_line_is_sorted_in_bounded_parts(spark, monkeypatch, held):
     want = _brute(rows, lambda t: t.encode(), bytes, 50, False)
     got = without_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 50, digest=True).collect()
     assert {r["doc_id"]: [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])] for r in got} == want
+
+
+@pytest.mark.parametrize("held", [10**7, 20000])
+def test_hot_phrase_fills_bounded_automata(spark, monkeypatch, held):
+    most, add = 400, SuffixAutomaton.add
+
+    def bounded(self, sequence):
+        add(self, sequence)
+        assert max(self.length) and len(self.length) <= 2 * most
+
+    monkeypatch.setattr(SuffixAutomaton, "add", bounded)
+    monkeypatch.setattr(substrings, "MOST", most, raising=False)
+    monkeypatch.setattr(repeats, "HELD_BYTES", held, raising=False)
+    monkeypatch.setattr(repeats, "SPOOL_BYTES", held, raising=False)
+    rows = _hot_line(300, " ".join(f"w{k}" for k in range(15)), " ") + _hot_line(3, "short", " ")
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = _brute(rows, lambda t: t.encode().split(), b" ".join, 20, True)
+    got = without_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), 20, digest=True).collect()
+    assert {r["doc_id"]: [(r["n_words"], r["n_removed"], r["kept_sha256"])] for r in got} == {k: [(a, b, d) for a, b, _, d in v] for k, v in want.items()}
