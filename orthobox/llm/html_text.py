@@ -1,7 +1,7 @@
 """Main text of HTML pages by gradient-boosted trees over DOM nodes with hierarchical decoding.
 
-A page is tokenised once into a tree of its block-level elements (inline elements belong to the block around them; scripts,
-styles, comments and the head never enter). Each node has features: its kind of tag, tokens of its attributes, depth,
+A page is tokenised once into a tree of its block-level elements (inline elements and formulas belong to the block around them; scripts,
+styles, templates, form values, frames, comments and the head never enter; fallbacks of media, noscript and svg texts are nodes). Each node has features: its kind of tag, tokens of its attributes, depth,
 sibling statistics, subtree size, text, link, tag and punctuation density, and the kinds of its ancestors. Boosted trees
 give each node the log odds that it holds main text. Decoding chooses the set of nodes with the greatest sum of log odds in
 which every chosen node's parent is chosen: a bottom-up pass in which a subtree is kept if its sum is positive. So a node
@@ -38,12 +38,15 @@ _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of HTML.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select option title".split())
+RAW = frozenset("script style template iframe textarea select title".split())
+TO_THE_END = frozenset(["script", "style"])  # without an end tag these take the rest of the page; the others take nothing
+MEDIA = frozenset("noscript object svg canvas audio video".split())
+_NO_TEXT = re.compile(r"<(script|style|iframe|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME_CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPE = frozenset("ul ol dl table div section article aside nav body html td th".split())
+SAME_CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+SCOPE = frozenset("ul ol dl table div section article aside nav body html td th datalist select".split())
 
 KINDS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dd dt", "nav", "header", "footer", "aside", "form fieldset button input legend", "table thead tbody tr td th caption", "blockquote pre figure figcaption address details", "body html"]
 KIND = {t: k for k, tags in enumerate(KINDS) for t in tags.split()}
@@ -76,7 +79,13 @@ def parse(page: str) -> list[Node]:
     nodes, at, links, end, order = [root], root, 0, 0, 0
     run: list[str] = []
     n, limit = 0, len(page)
-    inline: list[str] = []
+    endless: set[str] = set()
+
+    def end_of(tag: str):
+        stop = None if tag in endless else re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(page, n)
+        if stop is None:
+            endless.add(tag)
+        return stop
 
     def close_run():
         nonlocal order
@@ -105,9 +114,20 @@ def parse(page: str) -> list[Node]:
         at.tags += 1
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                stop = re.compile(f"</{re.escape(tag)}", re.I).search(page, n)
-                n = limit if stop is None else page.find(">", stop.start()) + 1 or limit
+                stop = end_of(tag)
+                if stop is not None:
+                    n = page.find(">", stop.start()) + 1 or limit
+                elif tag in TO_THE_END:
+                    n = limit
             continue
+        if tag in MEDIA and not closing:
+            if m[3].endswith("/"):
+                continue
+            # One without text, like an icon, does not part the text around it.
+            stop = end_of(tag)
+            if stop is not None and not _NO_TEXT.sub("", page[n : stop.start()]):
+                n = page.find(">", stop.start()) + 1 or limit
+                continue
         if tag == "br":
             run.append(" ")
             continue

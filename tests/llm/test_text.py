@@ -116,3 +116,19 @@ def test_contamination(spark, odd, none, monkeypatch):
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_html_keeps_what_follows_options_and_what_stands_in_media():
+    parts = lambda page: [t for x in html_text.parse(page) for _, t in x.pieces]
+    words = "the article holds this text"
+    form = "<form><input list=d><datalist id=d><option value=A><option value=B>b</datalist></form>"
+    assert parts(f"<body>{form}<article><p>{words}</p></article>") == ["b", words]
+    assert parts(f"{form}<article><p>{words}</p></article><select><option>x</option></select>") == ["b", words]
+    for tag in ("svg", "object", "canvas", "audio", "video", "noscript"):
+        assert parts(f"<article><p>before</p><{tag}><p>{words}</p></{tag}></article>") == ["before", words]
+        assert parts(f"<p>one <{tag}><path d='m'/></{tag}> two</p>") == ["one two"]
+    assert parts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert parts(f"<select><p>{words}") == parts(f"<textarea><p>{words}") == [words] and parts(f"<script><p>{words}") == []
+    forest = html_text.model()
+    page = f"<html><body>{form}<article><h1>A title of the page</h1>" + f"<p>{words}, and it goes on for a while, as main text does.</p>" * 4 + "</article></body></html>"
+    assert html_text.main_text([page], forest)[0].count(words) == 4
