@@ -11,7 +11,10 @@ Characters are lower-cased and mapped to a fixed alphabet of SYMBOLS symbols, so
 36,000) whatever the input; their log ratios, in thousandths, are one constant array of the scoring expression. Scores are
 thus computed inside each row, without a join or a shuffle; fitting shuffles at most SYMBOLS ** 3 counts per task.
 
-Cases: null URLs and those without :// have empty host and path and fit no rule; a URL without characters scores 0. Without
+The models read the whole URL after its scheme, with query and fragment; host and path are for the rules.
+
+Cases: null URLs and those without :// have empty host and path and fit no rule; of the latter the models read everything. A
+URL without characters scores 0. Without
 labelled URLs of both verdicts there is no evidence against any URL and the verdict is allow. Repeated URLs each get their
 row; an empty table gives no rows; extra columns are not read.
 """
@@ -35,6 +38,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def read_characters(url: Column) -> Column:
+    """What the models read: all after the first ://, the whole URL where there is none; null: ''."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url), F.lit(""))
+
+
 def rule_column(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -45,9 +54,9 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    """Adds grams, one number for each character of host and path, from it and the two before it:
+    """Adds grams, one number for each character of _read, from it and the two before it:
     (two before * SYMBOLS + before) * SYMBOLS + it. Each step is a column, so that none is computed anew for each character."""
-    flat = F.translate(F.lower(F.concat("host", "path")), "123456789", "000000000")
+    flat = F.translate(F.lower("_read"), "123456789", "000000000")
     codes = F.transform(F.filter(F.split(flat, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
     df = df.withColumn("_codes", F.concat(F.array(F.lit(START), F.lit(START)), codes))
     at = F.when(F.size("_codes") > 2, F.sequence(F.lit(2), F.size("_codes") - 1)).otherwise(F.array().cast("array<int>"))
@@ -104,10 +113,10 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and score added."""
     host, path = host_and_path(F.col(url_col))
-    read = pages.withColumns({"host": host, "path": path})
+    read = pages.withColumns({"host": host, "path": path, "_read": read_characters(F.col(url_col))})
     read = read.withColumn("fits", rule_column(F.col("host"), F.col("path"), rules))
-    examples = with_grams(read.where(F.col("fits").isNotNull()).select(F.col("fits.verdict").alias("verdict"), "host", "path"))
-    examples = examples.select("verdict", "grams", (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("kept_out"))
+    examples = with_grams(read.where(F.col("fits").isNotNull()).select(F.col("fits.verdict").alias("verdict"), "_read"))
+    examples = examples.select("verdict", "grams", (F.pmod(F.xxhash64("_read"), F.lit(5)) == 0).alias("kept_out"))
     kinds = {r["verdict"] for r in examples.where(~F.col("kept_out")).select("verdict").distinct().collect()}
     if kinds == {"allow", "block"}:
         # As text, which the optimizer folds into one array.
@@ -117,4 +126,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     else:
         cut, out = 0.0, read.withColumn("score", F.lit(0.0))
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-    return out.withColumns({"rule": F.col("fits.rule"), "verdict": F.coalesce(F.col("fits.verdict"), method)}).drop("fits")
+    return out.withColumns({"rule": F.col("fits.rule"), "verdict": F.coalesce(F.col("fits.verdict"), method)}).drop("fits", "_read")

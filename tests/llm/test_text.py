@@ -132,3 +132,11 @@ def test_html_keeps_what_follows_options_and_what_stands_in_media():
     forest = html_text.model()
     page = f"<html><body>{form}<article><h1>A title of the page</h1>" + f"<p>{words}, and it goes on for a while, as main text does.</p>" * 4 + "</article></body></html>"
     assert html_text.main_text([page], forest)[0].count(words) == 4
+
+
+def test_urls_models_read_queries_and_urls_without_scheme(spark):
+    rows = [(k, f"https://a{k}.example.net/en/?q=garden{k}#herbs" if k % 2 else f"https://a{k}.spam.net/en/?q=casino{k}#wins") for k in range(300)]
+    rows += [(1000, "http://x.org/?q=garden"), (1001, "http://x.org/?q=casino"), (1002, "http://x.org/"), (1003, "x.org/casino"), (1004, None)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).where("page_id >= 1000").collect()}
+    assert got[1000]["score"] > got[1001]["score"] and len({got[k]["score"] for k in (1000, 1001, 1002)}) == 3
+    assert got[1003]["score"] < 0 == got[1004]["score"] and got[1003]["host"] == got[1003]["path"] == ""
