@@ -24,12 +24,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
-MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 20_000, 15_000, 4, 1.0
+MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 60_000, 60_000, 4, 1.0
 KNOWN_WORDS = 300_000  # entries of the cache of scored words, in a worker
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,37 +68,38 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     counted = sample.select(lang_col, text_col).mapInArrow(count, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
     total = Window.partitionBy("lang", "size")
     best = F.row_number().over(total.orderBy(F.desc("n"), "token"))
-    kept = counted.withColumn("all", F.sum("n").over(total)).withColumn("rank", best).where(F.col("rank") <= F.when(F.col("size") == 0, VOCABULARY).otherwise(GRAMS))
-    # At most languages * (VOCABULARY + GRAMS * (MAX_GRAM - 1)) rows, as columns rather than as Row objects.
+    ranked = counted.withColumn("all", F.sum("n").over(total)).withColumn("rank", best)
+    # A token that is kept for one language keeps its counts in all.
+    kept = ranked.withColumn("rank", F.min("rank").over(Window.partitionBy("size", "token"))).where(F.col("rank") <= F.when(F.col("size") == 0, VOCABULARY).otherwise(GRAMS))
+    # At most languages * (VOCABULARY + GRAMS * (MAX_GRAM - 1)) different tokens, as columns rather than as Row objects.
     rows = kept.select("lang", "size", "token", "n", "all").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    at = {lang: k for k, lang in enumerate(langs)}
-    totals: dict[int, list[int]] = {s: [1] * len(langs) for s in (0, *range(2, MAX_GRAM + 1))}
-    counts: dict[int, dict[str, list[int]]] = {s: {} for s in totals}
-    for lang, size, token, n, all_ in zip(*(c.to_pylist() for c in rows.columns)):
-        totals[size][at[lang]] = all_
-        counts[size].setdefault(token, [0] * len(langs))[at[lang]] = n
-    del rows
-    tables: dict[int, dict[str, tuple]] = {}
-    for s in totals:
-        floor, c = math.log(0.5 / max(totals[s])) if langs else 0.0, counts.pop(s)
-        tables[s] = {t: tuple(math.log(x / k) if x else floor for x, k in zip(n, totals[s])) for t, n in c.items()}
+    langs = sorted(set(rows.column("lang").unique().to_pylist()))
+    tables: dict[int, tuple] = {}
+    for s in (0, *range(2, MAX_GRAM + 1)):
+        own = rows.filter(pc.equal(rows.column("size"), s))
+        token, lang = own.column("token").combine_chunks().dictionary_encode(), pc.index_in(own.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        n, totals = np.zeros((len(token.dictionary), len(langs))), np.ones(len(langs))
+        n[token.indices.to_numpy(), lang] = own.column("n").to_numpy()
+        totals[lang] = own.column("all").to_numpy()
+        tables[s] = token.dictionary, np.log(np.where(n > 0, n / totals, 0.5 / max(totals, default=1.0)))
     return {"langs": langs, "tables": tables}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.tables, self.cache = model["langs"], model["tables"], {}
+        self.langs, self.cache = model["langs"], {}
+        self.tables = {s: (dict(zip(tokens.to_pylist(), range(len(tokens)))), logs) for s, (tokens, logs) in model["tables"].items()}
         self.floor = tuple([math.log(1e-7)] * len(self.langs))
 
     def word(self, word: str) -> tuple:
-        out = self.tables[0].get(word)
-        if out is not None:
-            return out
+        at, logs = self.tables[0]
+        if word in at:
+            return tuple(logs[at[word]].tolist())
         for n in range(MAX_GRAM, 1, -1):
-            found = [x for g in word_grams(word, n) if (x := self.tables[n].get(g)) is not None]
+            at, logs = self.tables[n]
+            found = [k for g in word_grams(word, n) if (k := at.get(g)) is not None]
             if found:
-                return tuple(sum(c) / len(found) for c in zip(*found))
+                return tuple(logs[found].mean(axis=0).tolist())
         return self.floor
 
     def predict(self, text: str | None) -> tuple[str, float]:

@@ -140,3 +140,11 @@ def test_urls_models_read_queries_and_urls_without_scheme(spark):
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).where("page_id >= 1000").collect()}
     assert got[1000]["score"] > got[1001]["score"] and len({got[k]["score"] for k in (1000, 1001, 1002)}) == 3
     assert got[1003]["score"] < 0 == got[1004]["score"] and got[1003]["host"] == got[1003]["path"] == ""
+
+
+def test_languages_keep_all_counts_of_a_kept_token(spark, monkeypatch):
+    monkeypatch.setattr(language, "VOCABULARY", 1)
+    rows = [(1, "aa aa aa bb bb", "x"), (2, "bb bb bb aa", "y")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = language.Scorer(model)
+    assert model["langs"] == ["x", "y"] and np.allclose(np.exp(scorer.word("aa")), [3 / 5, 1 / 4]) and np.allclose(np.exp(scorer.word("bb")), [2 / 5, 3 / 4])
