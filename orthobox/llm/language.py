@@ -2,8 +2,8 @@
 
 Fitting counts words and the character n-grams of words (2 to MAX_GRAM, with word ends marked) per language over labelled
 texts. From each language at most MAX_TEXTS texts, those whose hash comes first, and of each the whole text, are used; the
-VOCABULARY most frequent words and GRAMS n-grams are kept, so the model has a bound that no input exceeds, and it is
-broadcast.
+VOCABULARY most frequent words and GRAMS n-grams are kept, so the model has a bound that no input exceeds; it is
+broadcast as sorted 64-bit hashes with a row of scores each.
 
 A word of a text that the vocabulary knows is scored by its log frequency in each language; a language that lacks it counts
 it as half an occurrence in the language with most words, so that little data is no advantage. Any other word is scored
@@ -13,25 +13,28 @@ is predicted, ties going to the first by name. `score` is the best language's sh
 
 Words are maximal runs of letters, lower-cased. Cases: null text and text without a letter give 'und' with score 0, as does
 every text if there are no labelled texts; repeated rows get the same result; empty tables give no rows; extra columns are
-not read. Prediction uses the text alone.
+kept, but for lang_pred and score, which are replaced. Prediction uses the text alone.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
+from orthobox.llm.shared import spare
 
 MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 60_000, 60_000, 4, 1.0
-KNOWN_WORDS = 300_000  # entries of the cache of scored words, in a worker
+KNOWN_WORDS = 100_000  # words that a task keeps the scores of
+CELL_BITS = 12
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,11 +51,17 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """labelled(lang, text, id) -> the model, a dictionary of plain and NumPy values."""
     from pyspark.sql import Window
 
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # The first of a language by hash: partial top-k per task, then one task a language with few rows from each.
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col), F.lit("fit")), F.col(id_col))
-    keys = known.select(lang_col, id_col).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_TEXTS)
-    sample = known.select(lang_col, id_col, text_col).join(F.broadcast(keys.select(lang_col, id_col).distinct()), [lang_col, id_col])
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    hashed = known.select("lang", "id", F.xxhash64("id", F.lit("fit")).alias("h")).withColumn("cell", F.shiftright("h", 64 - CELL_BITS))
+    # The first of a language by hash. Counts of 2 ** CELL_BITS cells a language tell where to stop, so that little beyond
+    # the first MAX_TEXTS is ever ranked.
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("cell"))
+    cells = hashed.groupBy("lang", "cell").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    last = cells.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= MAX_TEXTS, F.col("cell"))), F.max("cell")).alias("last"))
+    near = hashed.join(F.broadcast(last), "lang").where("cell <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    keys = near.withColumn("rank", rank).where(F.col("rank") <= MAX_TEXTS).select("lang", "id").distinct()
+    sample = known.join(F.broadcast(keys), ["lang", "id"])
 
     def count(batches):
         counts: Counter = Counter()
@@ -65,61 +74,71 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
                             counts[lang, size, gram] += n
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in counts], "size": pa.array([k[1] for k in counts], pa.int32()), "token": [k[2] for k in counts], "n": pa.array(counts.values(), pa.int64())}, schema=pa.schema([("lang", pa.string()), ("size", pa.int32()), ("token", pa.string()), ("n", pa.int64())]))
 
-    counted = sample.select(lang_col, text_col).mapInArrow(count, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
     total = Window.partitionBy("lang", "size")
     best = F.row_number().over(total.orderBy(F.desc("n"), "token"))
     ranked = counted.withColumn("all", F.sum("n").over(total)).withColumn("rank", best)
     # A token that is kept for one language keeps its counts in all.
     kept = ranked.withColumn("rank", F.min("rank").over(Window.partitionBy("size", "token"))).where(F.col("rank") <= F.when(F.col("size") == 0, VOCABULARY).otherwise(GRAMS))
-    # At most languages * (VOCABULARY + GRAMS * (MAX_GRAM - 1)) different tokens, as columns rather than as Row objects.
-    rows = kept.select("lang", "size", "token", "n", "all").toArrow()
+    # At most languages * (VOCABULARY + GRAMS * (MAX_GRAM - 1)) different tokens; their hashes come, not their texts.
+    rows = kept.select("lang", "size", F.xxhash64("token").alias("token"), "n", "all").toArrow()
     langs = sorted(set(rows.column("lang").unique().to_pylist()))
     tables: dict[int, tuple] = {}
     for s in (0, *range(2, MAX_GRAM + 1)):
         own = rows.filter(pc.equal(rows.column("size"), s))
-        token, lang = own.column("token").combine_chunks().dictionary_encode(), pc.index_in(own.column("lang"), pa.array(langs, pa.string())).to_numpy()
-        n, totals = np.zeros((len(token.dictionary), len(langs))), np.ones(len(langs))
-        n[token.indices.to_numpy(), lang] = own.column("n").to_numpy()
+        tokens, at = np.unique(own.column("token").to_numpy().view(np.uint64), return_inverse=True)
+        lang = pc.index_in(own.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        n, totals = np.zeros((len(tokens), len(langs))), np.ones(len(langs))
+        n[at, lang] = own.column("n").to_numpy()
         totals[lang] = own.column("all").to_numpy()
-        tables[s] = token.dictionary, np.log(np.where(n > 0, n / totals, 0.5 / max(totals, default=1.0)))
+        tables[s] = tokens, np.log(np.where(n > 0, n / totals, 0.5 / max(totals, default=1.0))).astype(np.float32)
     return {"langs": langs, "tables": tables}
 
 
-class Scorer:
+def _places(tokens: np.ndarray, wanted: list[str]) -> np.ndarray:
+    """Where those of the wanted tokens stand that the sorted hashes hold; F.xxhash64 is XXH64 of UTF-8 with seed 42."""
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in wanted], np.uint64)
+    at = np.searchsorted(tokens, h)
+    return at[tokens[np.minimum(at, len(tokens) - 1)] == h] if len(tokens) else at[:0]
+
+
+class Scorer(dict):
+    """Word -> its row of scores; lives as long as the task that made it."""
+
     def __init__(self, model: dict):
-        self.langs, self.cache = model["langs"], {}
-        self.tables = {s: (dict(zip(tokens.to_pylist(), range(len(tokens)))), logs) for s, (tokens, logs) in model["tables"].items()}
-        self.floor = tuple([math.log(1e-7)] * len(self.langs))
-
-    def word(self, word: str) -> tuple:
-        at, logs = self.tables[0]
-        if word in at:
-            return tuple(logs[at[word]].tolist())
+        self.langs, self.tables = model["langs"], model["tables"]
+        self.scores = np.empty((1024, len(self.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+        self.scores[k] = self.word(word)
+        self[word] = k
+        return k
+
+    def word(self, word: str) -> np.ndarray:
+        """The log score of a word in each language."""
+        tokens, logs = self.tables[0]
+        found = _places(tokens, [word])
         for n in range(MAX_GRAM, 1, -1):
-            at, logs = self.tables[n]
-            found = [k for g in word_grams(word, n) if (k := at.get(g)) is not None]
-            if found:
-                return tuple(logs[found].mean(axis=0).tolist())
-        return self.floor
+            if len(found):
+                break
+            tokens, logs = self.tables[n]
+            grams = word_grams(word, n)
+            found = _places(tokens, grams) if grams else found
+        return logs[found].mean(axis=0) if len(found) else np.full(len(self.langs), np.log(1e-7), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = text_words(text)
         if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        cache, total = self.cache, [0.0] * len(self.langs)
-        if len(cache) > KNOWN_WORDS:
-            cache.clear()
-        counts = Counter(words)
-        rows = []
-        for w in counts:
-            x = cache.get(w)
-            if x is None:
-                cache[w] = x = self.word(w)
-            rows.append(x)
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows) / len(words)
-        best = int(np.argmax(total))
-        weights = np.exp((total - total[best]) * SHARPNESS)
-        return self.langs[best], float(1 / weights.sum())
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
+        mean = self.scores[rows].mean(axis=0, dtype=float)
+        best = int(np.argmax(mean))
+        return self.langs[best], float(1 / np.exp((mean - mean[best]) * SHARPNESS).sum())
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -127,15 +146,13 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
-
-        global _scorer
-        if "_scorer" not in globals() or _scorer[0] is not shared.value:
-            _scorer = (shared.value, Scorer(shared.value))
-        return pd.DataFrame([_scorer[1].predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    p = spare(docs, "predicted")
+    return docs.withColumn(p, predict(F.col(text_col))).withColumns({"lang_pred": F.col(f"{p}.lang_pred"), "score": F.col(f"{p}.score")}).drop(p)
 
 
 def held_out(id_: Column) -> Column:

@@ -42,12 +42,20 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, near the wanted one."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs without ASCII white space; null text: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b) by alternating large-star and small-star steps.
 
     Returns (node, component) for every node that has a link, component being its smallest reachable node. A hub is never
@@ -56,7 +64,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     no rows; loops and repeated links are harmless.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below"))
         if least.where("m < u and (top > u or below > m)").isEmpty():
@@ -67,10 +75,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         new = stored(large.join(least, "u").select(ends.alias("e")).select("e.*").where("u != v").distinct())
         discard(edges)
         edges = new
-    raise RuntimeError("components did not settle")
 
 
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_KEYS = 250_000  # of some 40 bytes
 
 
 def without(df: DataFrame, keys: DataFrame) -> DataFrame:
