@@ -52,9 +52,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int =
     return ranked.select("source", "docs", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
-    """(id, size, source, source_size, target, copies) for every row of docs."""
-    base = stored(docs.select(id_col, "source", word_count(F.col("text")).alias("size")))
+def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """(id, size, source, source_size, target, copies, extra columns) for every row of docs."""
+    base = stored(docs.select(id_col, "source", word_count(F.col("text")).alias("size"), *(extra or [])))
     salts = n_salts(base.count())
     base = base.withColumn("salt", F.pmod(_hash28(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(salts)))
     cells = base.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP,
     offset = _hash28(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("d.source"), F.lit("\u0000")))) % OFFSETS / F.lit(float(OFFSETS))
     each = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
     copies = (F.floor((at + 1) * each + offset) - F.floor(at * each + offset)).cast("long")
-    return d.join(b, same).select(F.col(f"d.{id_col}").alias(id_col), F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"))
+    return d.join(b, same).select(F.col(f"d.{id_col}").alias(id_col), F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), *[F.col(f"d.{c}").alias(c) for c in extra or []])
 
 
 def n_salts(rows: int) -> int:

@@ -8,13 +8,14 @@ probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: with 8 and 2 that is 0.9994 at
 Documents with equal sets are one class from the start, represented by their smallest id, so groups of exact copies cost one
 row. Pairs of a bucket are never emitted. First every member of a bucket is compared with the bucket's smallest member;
 links make components, and buckets that lie within one are done. Members of the other buckets are then gathered by the band
-of the first collection that the bucket's key holds (a group of more than BLOCK members is split into blocks, whose pairs are
-tasks), and inside a task all pairs that share a table and lie in different components are compared by their sets; a task
+of the first collection that the bucket's key holds (a group of more than BLOCK members or BLOCK_BYTES of sets is split into
+blocks, whose pairs are compared apart), and inside a task all pairs that share a table and lie in different components are compared by their sets; a task
 returns only links that join components. So no pair that met in a table goes unverified unless its ends are connected
 already, and what is written is linear in the members.
 
-Comparisons fetch the texts of the documents concerned again; the list of these is broadcast only up to MAX_BROADCAST rows,
-else joined by a shuffle. The rows of a hot first member are salted.
+Comparisons fetch the texts of the documents concerned again; the list of these is broadcast only up to BROADCAST_BYTES,
+else joined by a shuffle of these documents. The rows of a hot first member are salted. Python workers hold two blocks of sets
+and OUT_BYTES of rows that leave, whatever the size of a group.
 
 Cases: null, empty and blank texts have empty sets and link with nothing; a text of fewer than n_words words is one shingle; repeated rows link
 (equal sets); rows with null ids are kept and not linked; rows that share an id are one node; an empty table gives no rows;
@@ -32,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthobox.llm.shared import components, stored
+from orthobox.llm.shared import components, discard, stored
 
 SIDE, WIDTH = 8, 2
-MAX_BROADCAST = 500_000
-MEMBERS_PER_SALT, BLOCK = 500, 512
+BROADCAST_BYTES, ID_BYTES, PLACE_BYTES = 10_000_000, 40, 400  # of all rows; of a row of ids; of a row with bands and places
+MEMBERS_PER_SALT, BLOCK, BLOCK_BYTES, OUT_BYTES = 500, 512, 8_000_000, 8_000_000
 CACHED_WORDS = 150_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -119,14 +120,19 @@ def _sign(batches, n_words: int):
 
 def _to_sets(batches, n_words: int):
     hashes, last, kept = WordHashes(), None, b""
+    names = ["leader", "salt", "member", "own"]
     for batch in batches:
-        sets = []
-        for text in batch.column("text"):
+        first, sets, held = 0, [], 0
+        for k, text in enumerate(batch.column("text"), 1):
             text = text.as_py()
             if text != last:
                 last, kept = text, shingle_set(text, hashes, n_words).tobytes()
             sets.append(kept)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("leader", "salt", "member", "own")] + [pa.array(sets, pa.binary())], names=["leader", "salt", "member", "own", "set"])
+            held += len(kept)
+            if held > OUT_BYTES or k == batch.num_rows:
+                part = batch.slice(first, k - first)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(sets, pa.binary())], names=[*names, "set"])
+                first, sets, held = k, [], 0
 
 
 def _compare(batches, percent: int):
@@ -150,6 +156,12 @@ def _compare(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(members, pa.int64())], names=["a", "b"])
 
 
+def _those(texts: DataFrame, wanted: DataFrame, key: str, few: bool) -> DataFrame:
+    """texts, without those that a later shuffled join with wanted would drop, if their ids may be broadcast."""
+    ids = None if few else wanted.select(F.col(key).alias("id")).distinct()
+    return texts if few or ids.count() * ID_BYTES > BROADCAST_BYTES else texts.join(F.broadcast(ids), "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Those of pairs(leader, member) whose full sets link, as (a, b). texts: (id, text)."""
     spark, n_pairs = pairs.sparkSession, pairs.count()
@@ -157,8 +169,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) ->
     members = pairs.join(per_leader, "leader").select(F.col("member").alias("id"), "leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own"))
     owners = per_leader.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"))
     wanted = members.unionByName(owners)
-    wanted = F.broadcast(wanted) if n_pairs <= MAX_BROADCAST else wanted
-    fetched = texts.join(wanted, "id").select("leader", "salt", F.col("id").alias("member"), "own", F.col("text").cast("binary").alias("text"))
+    few = 2 * n_pairs * ID_BYTES <= BROADCAST_BYTES
+    wanted = F.broadcast(wanted) if few else wanted
+    fetched = _those(texts, wanted, "id", few).join(wanted, "id").select("leader", "salt", F.col("id").alias("member"), "own", F.col("text").cast("binary").alias("text"))
     sets = fetched.mapInArrow(partial(_to_sets, n_words=n_words), "leader long, salt int, member long, own boolean, set binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", F.desc("own"))
@@ -170,18 +183,28 @@ def _expand(batches, n_words: int):
     """A document's set, once for each place (group, i, j) that it goes to."""
     hashes = WordHashes()
     names = ["group", "band", "i", "j", "block", "rep", "comp", "a", "b", "set"]
+    types = {"set": pa.binary(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64())} | dict.fromkeys(("band", "i", "j", "block"), pa.int32())
+    rows: list[tuple] = []
+    held = 0
+
+    def full():
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, types.get(k, pa.int64())) for k, c in zip(names, columns)], names=names)
+
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in names}
-        for row in zip(*(batch.column(c).to_pylist() for c in ("places", "rep", "comp", "a", "b", "text"))):
-            places, rep, comp, a, b, text = row
+        columns = [batch.column(c) for c in ("places", "rep", "comp", "a", "b", "text")]
+        for k in range(batch.num_rows):
+            places, rep, comp, a, b, text = (c[k].as_py() for c in columns)
             set_ = shingle_set(text, hashes, n_words).tobytes()
             for p in places:
                 for other in range(p["blocks"]):
                     i, j = sorted((p["block"], other))
-                    for k, v in zip(names, (p["group"], p["band"], i, j, p["block"], rep, comp, a, b, set_)):
-                        out[k].append(v)
-        types = {"set": pa.binary(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64())} | dict.fromkeys(("band", "i", "j", "block"), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], types.get(k, pa.int64())) for k in names], names=names)
+                    rows.append((p["group"], p["band"], i, j, p["block"], rep, comp, a, b, set_))
+                    held += len(set_) + PLACE_BYTES
+                    if held > OUT_BYTES:
+                        yield full()
+                        rows, held = [], 0
+    yield full()
 
 
 def _joining_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -251,7 +274,9 @@ def _compare_groups(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for group, *row in zip(*(batch.column(k).to_pylist() for k in range(10))):
+        columns = [batch.column(k) for k in range(10)]
+        for k in range(batch.num_rows):
+            group, *row = (c[k].as_py() for c in columns)
             if at != (group, *row[:3]):
                 if rows:
                     yield done()
@@ -264,18 +289,23 @@ def _compare_groups(batches, percent: int):
 def joining_links(open_: DataFrame, reps: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     """open_(rep, band, comp): members of buckets with several components. Links (a, b) between these components."""
     spark = texts.sparkSession
-    members = open_.join(reps.select("id", "a", "b"), F.col("rep") == F.col("id")).drop("id")
+    members = open_.join(reps.select("id", "n", "a", "b"), F.col("rep") == F.col("id")).drop("id")
     members = stored(members.withColumn("group", F.xxhash64("band", F.get("a", "band"))))
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     place = F.struct("group", "band", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     # A document has at most SIDE places.
     goes = stored(members.join(sizes, "group").groupBy("rep", "comp").agg(F.collect_list(place).alias("places")).join(reps.select(F.col("id").alias("rep"), "a", "b"), "rep"))
-    goes = F.broadcast(goes) if goes.count() <= MAX_BROADCAST else goes
-    fetched = texts.join(goes, texts["id"] == goes["rep"]).select("places", "rep", "comp", "a", "b", F.col("text").cast("binary").alias("text"))
+    few = goes.count() * PLACE_BYTES <= BROADCAST_BYTES
+    here = _those(texts, goes, "rep", few)
+    near = F.broadcast(goes) if few else goes
+    fetched = here.join(near, here["id"] == near["rep"]).select("places", "rep", "comp", "a", "b", F.col("text").cast("binary").alias("text"))
     rows = fetched.mapInArrow(partial(_expand, n_words=n_words), "group long, band int, i int, j int, block int, rep long, comp long, a array<long>, b array<long>, set binary")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group", "i", "j").sortWithinPartitions("group", "i", "j")
     with small_batches(spark, 200):
-        return stored(dealt.mapInArrow(partial(_compare_groups, percent=percent), "a long, b long"))
+        found = stored(dealt.mapInArrow(partial(_compare_groups, percent=percent), "a long, b long"))
+    discard(members)
+    discard(goes)
+    return found
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +323,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     met = stored(keyed.join(shared, "key").select("key", F.floor(F.col("table") / SIDE).cast("int").alias("band"), "rep", "n", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")))
     alike = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
     pairs = stored(met.where((F.col("rep") != F.col("leader")) & alike).select("leader", F.col("rep").alias("member")).distinct())
-    comps = stored(components(confirmed(pairs, texts, n_words, percent)))
+    links = confirmed(pairs, texts, n_words, percent)
+    comps = stored(components(links))
+    discard(pairs)
+    discard(links)
 
     in_comp = met.select("key", "band", "rep").join(comps, met["rep"] == comps["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     several = in_comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low != high and members > 2").select("key")
@@ -304,6 +337,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
         if not found.isEmpty():
             known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comps = stored(components(known.unionByName(found)))
+        discard(found)
+    discard(open_)
+    discard(met)
 
     classes = reps.select("n", "f1", "f2", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))

@@ -45,7 +45,7 @@ def _near(rows, n, percent):
 
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_near_duplicates(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(near_dedup, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "MEMBERS_PER_SALT", 5)
     rng = random.Random(5)
