@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthobox.llm import decontamination, language, mixing, near_dedup, sharding
-from orthobox.llm.shared import stored, without
+from orthobox.llm.shared import discard, spare, stored, without
 
 LEAST_SCORE, N_SHARDS = 0.3, 16
 
@@ -27,14 +27,18 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id, and one row of it."""
-    found = stored(near_dedup.near_duplicates(docs, n_words=2))
-    kept = without(docs, found.where(~F.col("kept")).select("doc_id"))
-    repeated = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One row of each group of near-duplicates stays. Rows are told apart by id and text, so different texts that share an id
+    are judged apart, and of rows without an id copies go too; rows without words link with nothing and stay."""
+    row = spare(docs, "row_key")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    found = stored(near_dedup.near_duplicates(keyed, n_words=2, id_col=row).where("n_shingles > 0"))
+    kept = without(keyed, found.where(~F.col("kept")).select(row))
+    repeated = stored(found.where("kept").groupBy(row).count().where("count > 1").select(row))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source"))).where("_nth = 1").select(docs.columns)
-    return without(kept, repeated).select(docs.columns).unionByName(once)
+        return kept.select(docs.columns)
+    nth = spare(keyed, "nth")
+    once = kept.join(repeated, row, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy("source"))).where(F.col(nth) == 1)
+    return without(kept, repeated).select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +49,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that share an id are matched in order of their source."""
-    nth = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).alias("_n"), "copies")
-    numbered = docs.withColumn("_nth", nth("source", F.xxhash64("text")))
-    met = numbered.join(taken, numbered["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_nth") == F.col("_n")))
-    return met.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Each row as often as the mix takes it. The mix carries a hash of the text, so that rows that share an id get their own
+    copies; rows alike in id, source and text are matched in any order."""
+    text, n, nth = (spare(docs, c) for c in ("text_key", "copies", "nth"))
+    keyed = docs.withColumn(text, F.xxhash64("text"))
+    same = ["doc_id", "source", text]
+    taken = mixing.mix(keyed, extra=[text]).select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(same)], F.col("copies").alias(n))
+    taken = taken.withColumn("_nth", F.row_number().over(Window.partitionBy("_0", "_1", "_2").orderBy(n)))
+    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy("n_chars")))
+    match = [numbered[c].eqNullSafe(taken[f"_{k}"]) for k, c in enumerate(same)]
+    met = numbered.join(taken, [*match, numbered[nth] == taken["_nth"]]).where(F.col(n) > 0)
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs
