@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from orthobox.llm.shared import spare
 
 MAX_TEXTS, VOCABULARY, GRAMS, MAX_GRAM, SHARPNESS = 1000, 60_000, 60_000, 4, 1.0
-KNOWN_WORDS = 100_000  # words that a task keeps the scores of
+KNOWN_WORDS, AT_ONCE = 250_000, 500  # words that a task keeps the scores of; texts that it looks at at a time
 CELL_BITS = 12
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,48 +95,58 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     return {"langs": langs, "tables": tables}
 
 
-def _places(tokens: np.ndarray, wanted: list[str]) -> np.ndarray:
-    """Where those of the wanted tokens stand that the sorted hashes hold; F.xxhash64 is XXH64 of UTF-8 with seed 42."""
-    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in wanted], np.uint64)
-    at = np.searchsorted(tokens, h)
-    return at[tokens[np.minimum(at, len(tokens) - 1)] == h] if len(tokens) else at[:0]
+def _hashes(tokens: list[str]) -> np.ndarray:
+    """What F.xxhash64 gives: XXH64 of UTF-8 with seed 42."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in tokens], np.uint64)
 
 
 class Scorer(dict):
-    """Word -> its row of scores; lives as long as the task that made it."""
+    """Word -> number of its row of scores, for the words met so far; lives as long as the task that made it."""
 
     def __init__(self, model: dict):
         self.langs, self.tables = model["langs"], model["tables"]
-        self.scores = np.empty((1024, len(self.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-        self.scores[k] = self.word(word)
-        self[word] = k
-        return k
-
-    def word(self, word: str) -> np.ndarray:
-        """The log score of a word in each language."""
-        tokens, logs = self.tables[0]
-        found = _places(tokens, [word])
-        for n in range(MAX_GRAM, 1, -1):
-            if len(found):
-                break
-            tokens, logs = self.tables[n]
-            grams = word_grams(word, n)
-            found = _places(tokens, grams) if grams else found
-        return logs[found].mean(axis=0) if len(found) else np.full(len(self.langs), np.log(1e-7), np.float32)
+        self.rows = np.empty((0, len(self.langs)), np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = text_words(text)
-        if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
+    def score(self, words: list[str]) -> np.ndarray:
+        """The log scores of words, a row each: words first, then n-grams, longest first."""
+        out = np.full((len(words), len(self.langs)), np.log(1e-7), np.float32)
+        todo = np.arange(len(words))
+        for n in (0, *range(MAX_GRAM, 1, -1)):
+            tokens, logs = self.tables[n]
+            if not len(todo) or not len(tokens):
+                continue
+            grams = [[words[k]] if n == 0 else word_grams(words[k], n) for k in todo.tolist()]
+            owner = np.repeat(np.arange(len(todo)), [len(g) for g in grams])
+            h = _hashes([g for own in grams for g in own])
+            at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+            known = tokens[at] == h
+            owner, at = owner[known], at[known]
+            count = np.bincount(owner, minlength=len(todo))
+            met = count > 0
+            for k in range(len(self.langs)):
+                out[todo[met], k] = np.bincount(owner, logs[at, k], len(todo))[met] / count[met]
+            todo = todo[~met]
+        return out
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Scores the words of texts that are new."""
         if len(self) > KNOWN_WORDS:
             self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
-        mean = self.scores[rows].mean(axis=0, dtype=float)
+            self.rows = self.rows[:0]
+        new = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self]
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.rows = np.concatenate([self.rows, self.score(new)])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [text_words(t) for t in texts] if self.langs else []
+        self.learn(words)
+        return [self._best(w) for w in words] if self.langs else [("und", 0.0)] * len(texts)
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        if not any(c.isalpha() for w in words for c in w):
+            return "und", 0.0
+        mean = self.rows[np.fromiter(map(self.__getitem__, words), np.intp, len(words))].mean(axis=0, dtype=float)
         best = int(np.argmax(mean))
         return self.langs[best], float(1 / np.exp((mean - mean[best]) * SHARPNESS).sum())
 
@@ -149,7 +159,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [p for k in range(0, len(texts), AT_ONCE) for p in scorer.predict(texts[k : k + AT_ONCE].tolist())]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     p = spare(docs, "predicted")
     return docs.withColumn(p, predict(F.col(text_col))).withColumns({"lang_pred": F.col(f"{p}.lang_pred"), "score": F.col(f"{p}.score")}).drop(p)

@@ -147,4 +147,36 @@ def test_languages_keep_all_counts_of_a_kept_token(spark, monkeypatch):
     rows = [(1, "aa aa aa bb bb", "x"), (2, "bb bb bb aa", "y")]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     scorer = language.Scorer(model)
-    assert model["langs"] == ["x", "y"] and np.allclose(np.exp(scorer.word("aa")), [3 / 5, 1 / 4]) and np.allclose(np.exp(scorer.word("bb")), [2 / 5, 3 / 4])
+    assert model["langs"] == ["x", "y"] and np.allclose(np.exp(scorer.score(["aa", "bb"])), [[3 / 5, 1 / 4], [2 / 5, 3 / 4]])
+
+
+def test_language_scores_match_brute_force(spark):
+    """Word-first backoff over plain dictionaries of counts, with all of its steps."""
+    rows = [(1, "der hund und die katze und der hund", "de"), (2, "die maus", "de"), (3, "the dog and the cat", "en"), (4, "the mouse and a dog", "en"), (5, "le chien et le chat", "fr"), (6, None, "fr"), (7, "ignored", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {}
+    for _, text, lang in rows:
+        for w in (text or "").split() if lang else ():
+            for n in (0, 2, 3, 4):
+                for g in [w] if n == 0 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]:
+                    counts.setdefault(n, {}).setdefault(g, {}).setdefault(lang, 0)
+                    counts[n][g][lang] += 1
+    langs = ["de", "en", "fr"]
+    total = {n: [sum(c.get(x, 0) for c in t.values()) for x in langs] for n, t in counts.items()}
+
+    def of(n, g):
+        return [np.log(counts[n][g][x] / total[n][k] if x in counts[n][g] else 0.5 / max(total[n])) for k, x in enumerate(langs)]
+
+    def word(w):
+        if w in counts[0]:
+            return of(0, w)
+        for n in (4, 3, 2):
+            found = [of(n, g) for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if g in counts[n]]
+            if found:
+                return np.mean(found, axis=0)
+        return [np.log(1e-7)] * 3
+
+    texts = ["der hund", "hunde mausen", "dogs the cats chats", "zzzz qqq", "x", "Le CHIEN und the dog", "und"]
+    for text, (lang, score) in zip(texts, language.Scorer(model).predict(texts)):
+        mean = np.mean([word(w) for w in text.lower().split()], axis=0)
+        assert lang == langs[int(np.argmax(mean))] and abs(score - np.exp(max(mean)) / np.exp(mean).sum()) < 1e-5
