@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
 GROUP_BYTES, BLOCK = 16_000_000, 1 << 19
-SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 64_000_000, 48_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
+SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 16_000_000, 16_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
 COUNT_BITS = 20
 LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -114,14 +114,19 @@ class Group:
     """The documents of a group, in order of id and text, in blocks of about BLOCK symbols."""
 
     def __init__(self, table: pa.Table, plan: Plan):
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
-        self.ids, self.texts, self.plan = [ids[k] for k in self.order], [texts[k] for k in self.order], plan
+        ids, self.column, self.plan = table.column("id").to_pylist(), table.column("text"), plan
+        repeated = len(set(ids)) < len(ids)
+        self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, (self.column[k].as_py() or b"") if repeated else b""))
+        self.ids = [ids[k] for k in self.order]
+
+    def texts(self):
+        """One at a time: the group's texts stay in the Arrow table only."""
+        return (self.column[k].as_py() for k in self.order)
 
     def blocks(self):
         """(symbols, ordinals of documents, their ends) of each block."""
         parts, ordinals, size, make = [], [], 0, self.plan.symbols()
-        for k, text in enumerate(self.texts):
+        for k, text in enumerate(self.texts()):
             s = make(text)
             if len(s) >= self.plan.length:
                 parts.append(s)
@@ -177,6 +182,25 @@ def _answer(key, table):
     return pa.table({"part": table.column("part"), "shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
+def _content_hashes(s: np.ndarray, first: np.ndarray, size: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each piece's whole content, from grams that cover it."""
+    g, out = gram_hashes(s, gram), size.astype(np.uint64) * _B
+    for k in range(0, int(size.max()), gram):
+        out = (out ^ (out >> np.uint64(32)) ^ g[first + np.minimum(k, size - gram)]) * _C
+    return out ^ (out >> np.uint64(31))
+
+
+def _alike(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the runs of `size` symbols at a and at b are equal."""
+    word, step = (np.ndarray((len(s) - 7,), "<u8", s, strides=(1,)), 8) if s.dtype == np.uint8 else (s, 1)
+    same = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), step):
+        live = np.flatnonzero(same & (size > k))
+        at = np.minimum(k, size[live] - step)
+        same[live] = word[a[live] + at] == word[b[live] + at]
+    return same
+
+
 def _send_pieces(plan: Plan, shards: int):
     def run(key, table, answers):
         group = Group(table, plan)
@@ -189,54 +213,50 @@ def _send_pieces(plan: Plan, shards: int):
             n = cuts[q + 1] - cuts[q]
             wanted[cuts[q] : cuts[q + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
         repeated = own[wanted]
-        found: dict[bytes, int] = {}  # content -> its number
-        parts: list[tuple] = []
+        del own, counts, wanted
+        texts, parts, before = [], [], 0
         for j, k in enumerate(keys):
             s, ordinals, ends, h, first, last = blocks[j]
-            blocks[j] = None
+            blocks[j] = keys[j] = None
             at = np.searchsorted(repeated, k)
             pick = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == k) if len(repeated) else np.empty(0, int)
-            doc = np.searchsorted(ends, first[pick], "right")
+            if not len(pick):
+                continue
+            first, size = first[pick], last[pick] - first[pick] + plan.length
+            doc = np.searchsorted(ends, first, "right")
             begin = np.concatenate([[0], ends])[doc]
             ordinal, shift = np.array([o if isinstance(o, tuple) else (o, 0) for o in ordinals], np.int64).reshape(-1, 2)[doc].T
-            raw, width = s.tobytes(), s.itemsize
-            number = [found.setdefault(raw[a * width : (z + plan.length) * width], len(found)) for a, z in zip(first[pick].tolist(), last[pick].tolist())]
-            parts.append((np.array(number, np.int64), h[pick], ordinal.astype(np.int32), (first[pick] - begin + shift).astype(np.int32)))
+            parts.append((h[pick], _content_hashes(s, first, size, plan.gram), (first + before).astype(np.int32), size.astype(np.int32), ordinal.astype(np.int32), (first - begin + shift).astype(np.int32)))
+            texts.append(s)
+            before += len(s)
         del blocks, keys
-        number, h, ordinal, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, t) for t in (np.int64, np.uint64, np.int32, np.int32))
-        del parts
-        contents = list(found)
-        found.clear()
-        # Contents by shard, each with its places in order.
-        n = np.bincount(number, minlength=len(contents)).astype(np.int32)
-        own_hash = np.zeros(len(contents), np.uint64)
-        own_hash[number] = h
-        to = ((own_hash >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        by_shard = np.argsort(to, kind="stable")
-        rank = np.empty(len(contents), np.int64)
-        rank[by_shard] = np.arange(len(contents))
-        order = np.argsort(rank[number], kind="stable")
-        ordinal, at = ordinal[order], at[order]
-        cuts = np.searchsorted(to[by_shard], np.arange(shards + 1))
-        places = np.concatenate([[0], np.cumsum(n[by_shard])])
-        ids = np.array([LAST if i is None else i for i in group.ids], np.int64)
         out = {name: [] for name in ("shard", "part", "hash", "size", "n", "id", "ordinal", "at", "content")}
-        for q in range(shards):
-            rows = by_shard[cuts[q] : cuts[q + 1]]
-            if not len(rows):
-                continue
-            here = slice(places[cuts[q]], places[cuts[q + 1]])
-            own = [contents[k] for k in rows.tolist()]
-            out["shard"].append(q)
-            out["part"].append(key[0].as_py())
-            out["hash"].append(own_hash[rows].tobytes())
-            out["size"].append(np.array([len(c) for c in own], np.int32).tobytes())
-            out["n"].append(n[rows].tobytes())
-            out["id"].append(ids[ordinal[here]].tobytes())
-            out["ordinal"].append(ordinal[here].tobytes())
-            out["at"].append(at[here].tobytes())
-            out["content"].append(b"".join(own))
-        return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "part") else pa.large_binary() if k == "content" else pa.binary()) for k, v in out.items()}).cast(pa.schema([(k, pa.int32() if k in ("shard", "part") else pa.binary()) for k in out]))
+        if parts:
+            s = np.concatenate(texts)
+            del texts
+            h, same, first, size, ordinal, at = (np.concatenate(x) for x in zip(*parts))
+            del parts
+            # Pieces by shard and content, equal ones in order of their places: documents came in order.
+            to = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((same, to))
+            h, same, first, size, ordinal, at, to = (x[order] for x in (h, same, first, size, ordinal, at, to))
+            new = np.ones(len(h), bool)
+            new[1:] = (to[1:] != to[:-1]) | (same[1:] != same[:-1]) | (size[1:] != size[:-1])
+            like = np.flatnonzero(~new)
+            new[like] = ~_alike(s, first[like - 1], first[like], size[like])
+            heads = np.flatnonzero(new)
+            n = np.diff(np.append(heads, len(h))).astype(np.int32)
+            cuts = np.searchsorted(to[heads], np.arange(shards + 1))
+            ids, width, raw = np.array([LAST if i is None else i for i in group.ids], np.int64), s.itemsize, memoryview(s).cast("B")
+            for q in range(shards):
+                rows = heads[cuts[q] : cuts[q + 1]]
+                if not len(rows):
+                    continue
+                here = slice(rows[0], rows[-1] + n[cuts[q + 1] - 1])
+                content = b"".join([raw[a * width : (a + w) * width] for a, w in zip(first[rows].tolist(), size[rows].tolist())])
+                for name, value in (("shard", q), ("part", key[0].as_py()), ("hash", h[rows].tobytes()), ("size", (size[rows] * width).tobytes()), ("n", n[cuts[q] : cuts[q + 1]].tobytes()), ("id", ids[ordinal[here]].tobytes()), ("ordinal", ordinal[here].tobytes()), ("at", at[here].tobytes()), ("content", content)):
+                    out[name].append(value)
+        return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "part") else pa.binary()) for k, v in out.items()})
 
     return run
 
@@ -428,7 +448,7 @@ def _finish(plan: Plan, names: list[str], types: list[pa.DataType]):
         spans = np.concatenate([np.frombuffer(b, np.int32).reshape(-1, 3) for b in answers.column("spans").to_pylist()] or [np.empty((0, 3), np.int32)])
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         cuts, make, rows = np.searchsorted(spans[:, 0], np.arange(len(group.ids) + 1)), plan.symbols(), []
-        for k, (id_, text) in enumerate(zip(group.ids, group.texts)):
+        for k, (id_, text) in enumerate(zip(group.ids, group.texts())):
             own = spans[cuts[k] : cuts[k + 1]]
             mask = None
             if len(own):

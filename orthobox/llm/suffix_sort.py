@@ -7,15 +7,20 @@ other, with separators, and their suffixes are sorted by induction:
 - suffixes are typed S or L; the leftmost S ones are put into their buckets, and the order of all L suffixes and then of all
   S suffixes is induced by scanning the buckets up and down, each suffix passing its predecessor to the bucket of that one's
   first symbol;
-- buckets are priority queues on the first symbol that keep arrival order. A queue holds at most `memory` entries; beyond
-  that, batches go to a scratch file of the task and are read back when their bucket's turn comes. The text that is sorted and
-  the order that comes out are arrays in memory, of MOST bytes at a time: a shard far larger than that is spooled to a scratch
-  file and sorted in parts that share no window (see repeats.py);
-- substrings between leftmost S suffixes are named in the order that a first induction gives, and the string of names is
-  sorted recursively: by induction of ranks over doubled spans, until names are unique or cover `length` bytes, which is as
-  deep as windows are compared;
-- a common-prefix value, capped at `length`, goes with each neighbour pair of the sorted windows. Where it reaches the cap,
-  the windows are equal; a group of equal windows takes the smallest id of its documents.
+- buckets are priority queues on the first symbol that keep arrival order. What is queued are tuples of a position and of the
+  prefix that its suffix shares with the one queued before it in that bucket. A queue holds at most `memory` tuples; beyond
+  that, batches go to a scratch file of the task and are read back when their bucket's turn comes;
+- substrings between leftmost S suffixes are named in the order that a first induction gives, and the string of names is sorted
+  recursively in the same way: a name is written as two digits, so that the alphabet stays small, and the suffixes that begin
+  at a first digit are in the order of the names. Where the digits are no shorter than the text was, ranks are doubled
+  instead, until names are unique or cover `length` bytes;
+- common-prefix values, capped at `length`, are measured between neighbours among the leftmost S suffixes and from there on
+  carried through induction: two neighbours in a bucket share one symbol more than the least of the values between the
+  suffixes that passed them on. Where the value reaches the cap, two windows are equal; a group of equal windows takes the
+  smallest id of its documents.
+
+The text that is sorted and the order that comes out are arrays in memory, of MOST bytes at a time. A shard far larger than that
+is spooled to a scratch file and dealt to parts that share no window, each of which is sorted (see repeats.py).
 
 All steps are on arrays, one bucket at a time.
 
@@ -38,23 +43,24 @@ from orthobox.llm.repeats import Plan, remove_repeats
 MOST = 1_000_000  # bytes that are sorted at a time; an anchor with more is split (see repeats.py)
 MEMORY = 8_000_000  # entries that the queues of a task hold before they use the disk
 END, GAP, SYMBOLS = 0, 1, 258  # bytes are shifted by 2
+SHRINKS = 0.8  # of the text's size, the most that a string of digits may have to be sorted recursively
 
 
 class BucketQueues:
-    """Queues of positions, one for each first symbol, in order of arrival; on disk beyond `memory` entries."""
+    """Queues of (position, common prefix), one for each first symbol, in order of arrival; on disk beyond `memory` entries."""
 
-    def __init__(self, memory: int):
-        self.chunks: list[list] = [[] for _ in range(SYMBOLS)]
+    def __init__(self, memory: int, symbols: int):
+        self.chunks: list[list] = [[] for _ in range(symbols)]
         self.memory, self.held, self.file = memory, 0, None
 
-    def push(self, symbols: np.ndarray, positions: np.ndarray) -> None:
+    def push(self, symbols: np.ndarray, positions: np.ndarray, common: np.ndarray) -> None:
         if not len(positions):
             return
         order = np.argsort(symbols, kind="stable")
-        symbols, positions = symbols[order], positions[order]
-        cuts = np.flatnonzero(np.diff(symbols)) + 1
-        for part, c in zip(np.split(positions, cuts), symbols[np.concatenate([[0], cuts])].tolist()):
-            self.chunks[c].append(part)
+        symbols, positions, common = symbols[order], positions[order], common[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(symbols)) + 1, [len(symbols)]]).tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            self.chunks[symbols[a]].append((positions[a:z], common[a:z]))
         self.held += len(positions)
         if self.held > self.memory:
             self._spill()
@@ -62,29 +68,26 @@ class BucketQueues:
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
-        for c, parts in enumerate(self.chunks):
-            if any(isinstance(p, np.ndarray) for p in parts):
-                kept = []
-                for p in parts:
-                    if isinstance(p, np.ndarray):
-                        at = self.file.seek(0, 2)
-                        self.file.write(p.astype(np.int32).tobytes())
-                        p = (at, len(p))
-                    kept.append(p)
-                self.chunks[c] = kept
+        for parts in self.chunks:
+            for k, part in enumerate(parts):
+                if isinstance(part[0], np.ndarray):
+                    at = self.file.seek(0, 2)
+                    self.file.write(part[0].astype(np.int32).tobytes() + part[1].astype(np.uint16).tobytes())
+                    parts[k] = (at, len(part[0]))
         self.held = 0
 
-    def pop(self, c: int) -> np.ndarray:
-        parts = []
-        for p in self.chunks[c]:
-            if isinstance(p, tuple):
-                self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(4 * p[1]), np.int32)
+    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(np.empty(0, np.int32), np.empty(0, np.uint16))]
+        for x, y in self.chunks[c]:
+            if isinstance(x, np.ndarray):
+                self.held -= len(x)
             else:
-                self.held -= len(p)
-            parts.append(p)
+                self.file.seek(x)
+                raw = self.file.read(6 * y)
+                x, y = np.frombuffer(raw, np.int32, y), np.frombuffer(raw, np.uint16, offset=4 * y)
+            parts.append((x, y))
         self.chunks[c] = []
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def close(self) -> None:
         if self.file is not None:
@@ -100,54 +103,110 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.repeat(rises, np.diff(np.concatenate([[-1], differs, [n - 1]])))
 
 
-def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int) -> np.ndarray:
-    """The order of all suffixes from that of the leftmost S suffixes (`seeds`)."""
-    first = BucketQueues(memory)
-    first.push(t[seeds], seeds)
-    queue, larger, least = BucketQueues(memory), [], [np.empty(0, np.int32)] * SYMBOLS
-
-    def pass_on(found: np.ndarray, want_s: bool, c: int) -> np.ndarray:
+def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of x[low:high] for each pair; no range is empty."""
+    level, out = np.frexp(high - low)[1] - 1, np.empty(len(low), x.dtype)
+    for k in range(int(level.max()) + 1):
+        if k:
+            x = np.minimum(x[: -(1 << (k - 1))], x[1 << (k - 1) :])
+        pick = np.flatnonzero(level == k)
+        out[pick] = np.minimum(x[low[pick]], x[high[pick] - (1 << k)])
+    return out
+
+
+class _Carried:
+    """Common prefixes of what is queued, from those of what is scanned: for each symbol the least value since its last push."""
+
+    def __init__(self, symbols: int, cap: int):
+        self.low, self.cap = np.zeros(symbols, np.uint16), cap
+
+    def push(self, scanned: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """scanned: common prefix of each scanned suffix and the one before; at, symbol: which of them push, and to where."""
+        if not self.cap or not len(scanned):
+            return np.zeros(len(at), np.uint16)
+        upto = np.minimum.accumulate(scanned)
+        low = np.minimum(self.low, upto[-1])
+        out = np.empty(len(at), np.uint16)
+        if len(at):
+            order = np.argsort(symbol, kind="stable")
+            i, c = at[order], symbol[order]
+            head = np.concatenate([[True], c[1:] != c[:-1]])
+            value = np.empty(len(i), np.uint16)
+            value[head] = np.minimum(self.low[c[head]], upto[i[head]])
+            rest = np.flatnonzero(~head)
+            if len(rest):
+                value[rest] = _range_min(scanned, i[rest - 1] + 1, i[rest] + 1)
+            after = np.append(np.minimum.accumulate(scanned[::-1])[::-1], self.cap)
+            tail = np.append(head[1:], True)
+            low[c[tail]] = after[i[tail] + 1]
+            out[order] = np.minimum(value + 1, self.cap)
+        self.low = low
+        return out
+
+
+def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int, symbols: int, common: np.ndarray | None = None, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes from that of the leftmost S suffixes (`seeds`), and each one's common prefix with the one
+    before it, up to `cap`; common: the same of the seeds."""
+    first, queue = BucketQueues(memory, symbols), BucketQueues(memory, symbols)
+    first.push(t[seeds], seeds, np.zeros(len(seeds), np.uint16) if common is None else common)
+    none = (np.empty(0, np.int32), np.empty(0, np.uint16))
+    larger, least, carried = [none] * symbols, [none] * symbols, _Carried(symbols, cap)
+
+    def run(p: int) -> int:
+        """How often the symbol at p is repeated."""
+        k = 1
+        while k < cap and t[p + k] == t[p]:
+            k += 1
+        return k
+
+    def seam(of_l: np.ndarray, of_s: int | None) -> int:
+        """Common prefix of an L and an S suffix with one first symbol: the shorter run of it."""
+        return min(run(int(of_l)), run(int(of_s))) if cap else 0
+
+    def pass_on(found: np.ndarray, shared: np.ndarray, want_s: bool, c: int) -> tuple[np.ndarray, np.ndarray]:
         """Queues the predecessors of `found` that have the wanted type; returns those that stay in bucket c."""
-        before = found[found > 0] - 1
-        before = before[s_type[before] == want_s]
+        at = np.flatnonzero(found > 0)
+        at = at[s_type[found[at] - 1] == want_s]
+        before = found[at] - 1
         symbol = t[before]
+        value = carried.push(shared, at, symbol)
         here = symbol == c
-        queue.push(symbol[~here], before[~here])
-        return before[here]
+        queue.push(symbol[~here], before[~here], value[~here])
+        return before[here], value[here]
 
-    for c in range(SYMBOLS):
-        wave, own = queue.pop(c), []
-        while len(wave):
-            own.append(wave)
-            wave = pass_on(wave, False, c)
-        larger.append(np.concatenate(own) if own else np.empty(0, np.int32))
-        pass_on(first.pop(c), False, c)
-    for c in range(SYMBOLS - 1, -1, -1):
+    def bucket(c: int, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
         wave, own = queue.pop(c), []
-        while len(wave):
+        if len(wave[0]):
+            wave[1][0] = 0  # the first of its bucket
+        while len(wave[0]):
             own.append(wave)
-            wave = pass_on(wave, True, c)
-        s_down = np.concatenate(own) if own else np.empty(0, np.int32)
-        pass_on(larger[c][::-1], True, c)
-        least[c] = s_down[::-1]
+            wave = pass_on(*wave, want_s, c)
+        return tuple(np.concatenate(x) for x in zip(*own)) if own else none
+
+    for c in range(symbols):
+        larger[c] = bucket(c, False)
+        found, shared = first.pop(c)
+        if len(found):
+            shared[0] = seam(larger[c][0][-1], found[0]) if len(larger[c][0]) else 0
+        pass_on(found, shared, False, c)
+    carried.low[:] = 0
+    for c in range(symbols - 1, -1, -1):
+        down, shared = bucket(c, True)
+        own, of_own = larger[c]
+        joint = seam(own[-1], down[-1]) if len(own) and len(down) else 0
+        if len(own):
+            pass_on(own[::-1], np.concatenate([[joint], of_own[:0:-1]]).astype(np.uint16), True, c)
+        if len(down):
+            least[c] = down[::-1], np.concatenate([[joint], shared[:0:-1]]).astype(np.uint16)
     first.close()
     queue.close()
     # The last suffix is no one's predecessor: it is the least of all.
-    return np.concatenate([np.array([len(t) - 1], np.int32), *[x for c in range(SYMBOLS) for x in (larger[c], least[c])]])
+    both = [x for c in range(symbols) for x in (larger[c], least[c])]
+    return np.concatenate([np.array([len(t) - 1], np.int32), *[x[0] for x in both]]), np.concatenate([np.zeros(1, np.uint16), *[x[1] for x in both]])
 
 
-def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
-    """Suffixes of t, whose last symbol is the only END, sorted at least by their first `depth` symbols."""
-    s_type = _types(t)
-    starts = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
-    if len(starts) <= 1:
-        return induce(t, s_type, starts, memory)
-    once = induce(t, s_type, starts, memory)
-    is_start = np.zeros(len(t), bool)
-    is_start[starts] = True
-    ranked = once[is_start[once]]
-    # Name substrings from one start to the next, in their order; equal ones share a name.
-    del once, is_start
+def _named(t: np.ndarray, starts: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Names of the substrings from one start to the next, in the order of `ranked`; equal ones share a name."""
     end = np.append(starts[1:], len(t) - 1)
     size = np.zeros(len(t), np.int32)
     size[starts] = end - starts + 1
@@ -160,14 +219,48 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
         same[live] = t[a[live] + k] == t[b[live] + k]
     name = size  # no longer needed
     name[ranked] = np.concatenate([[0], np.cumsum(~same)])
-    rank, span = name[starts].astype(np.int64), 1
-    del size, name, ranked, a, b, same
-    while rank.max() + 1 < len(rank) and span < depth:
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[:-span] = rank[span:] + 1
-        _, rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)
-        span *= 2
-    return induce(t, s_type, starts[np.argsort(rank, kind="stable")], memory)
+    return name[starts].astype(np.int64)
+
+
+def _common(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """The common prefix, up to cap, of each of these suffixes and the one before it."""
+    out, live, last = np.zeros(len(order), np.uint16), np.arange(1, len(order)), len(t) - 1
+    for k in range(cap):
+        a, b = t[np.minimum(order[live - 1] + k, last)], t[np.minimum(order[live] + k, last)]
+        live = live[a == b]
+        if not len(live):
+            break
+        out[live] += 1
+    return out
+
+
+def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY, symbols: int = SYMBOLS, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of t, whose last symbol is the only END, sorted at least by their first `depth` symbols, and the common prefix
+    of each and the one before it, up to cap."""
+    s_type = _types(t)
+    starts = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
+    if len(starts) <= 1:
+        return induce(t, s_type, starts, memory, symbols, np.zeros(len(starts), np.uint16), cap)
+    once = induce(t, s_type, starts, memory, symbols)[0]
+    is_start = np.zeros(len(t), bool)
+    is_start[starts] = True
+    rank = _named(t, starts, once[is_start[once]])
+    del once, is_start
+    names, span = int(rank.max()) + 1, 1
+    if names < len(rank) and 2 * len(rank) < SHRINKS * len(t):
+        base = int(np.ceil(np.sqrt(names + 1)))
+        digits = np.zeros(2 * len(rank) + 1, np.uint16)
+        digits[:-1:2], digits[1::2] = rank // base + 1, rank % base + 1
+        order = suffix_order(digits, depth, memory, base + 2)[0]
+        seeds = starts[order[(order % 2 == 0) & (order < 2 * len(rank))] >> 1]
+    else:
+        while rank.max() + 1 < len(rank) and span < depth:
+            nxt = np.zeros(len(rank), np.int64)
+            nxt[:-span] = rank[span:] + 1
+            _, rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)
+            span *= 2
+        seeds = starts[np.argsort(rank, kind="stable")]
+    return induce(t, s_type, seeds, memory, symbols, _common(t, seeds, cap), cap)
 
 
 def equal_windows(pieces: list[np.ndarray], length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,19 +278,13 @@ def equal_windows(pieces: list[np.ndarray], length: int, memory: int = MEMORY) -
     of = np.zeros(len(t), np.int32)
     of[place] = owner
     del owner, place
-    order = suffix_order(t, length, memory)
-    order = order[left[order] >= length]
+    order, common = suffix_order(t, length, memory, cap=length)
+    # What stands between two equal windows is equal to them, so no value between neighbours that are kept is missed.
+    kept = left[order] >= length
+    order, common = order[kept], common[kept]
     piece = of[order]
     offset = order - starts[piece]
-    del left, of
-    # Common-prefix values of neighbours, capped: they count only if all of `length` bytes agree.
-    raw = np.append(t, np.zeros(8, np.uint16)).astype(np.uint8)  # shifted bytes, modulo 256, still tell bytes apart
-    word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    alike = np.ones(max(0, len(order) - 1), bool)
-    for at in sorted({*range(0, length - 7, 8), max(0, length - 8)}):
-        live = np.flatnonzero(alike)
-        alike[live] = word[order[live] + at] == word[order[live + 1] + at]
-    return piece, offset, np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.empty(0, np.int64)
+    return piece, offset, np.concatenate([[0], np.cumsum(common[1:] < length)]) if len(order) else np.empty(0, np.int64)
 
 
 def _resolver(length: int, memory: int):

@@ -118,11 +118,17 @@ def test_suffix_automaton():
 
 
 def test_suffix_order():
-    rng = np.random.RandomState(1)
-    for _ in range(80):
-        t = np.append(rng.randint(1, 1 + rng.choice([1, 2, 3, 26]), rng.randint(1, 150)), 0).astype(np.uint16)
-        for memory in (5, 10**7):
-            assert suffix_sort.suffix_order(t, 1000, memory).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    """Order and common prefixes against brute force: whatever the memory of the queues, with recursion and without."""
+    rng = random.Random(3)
+    texts = [[rng.randint(2, 3 + k % 5) for _ in range(rng.randint(0, 120))] for k in range(25)]
+    texts += [[2] * 60, [2, 3] * 40, [3, 2] * 40, [2, 3, 4] * 30, [rng.choice([5, 6]) for _ in range(7)] * 40, [9, 9, 9, 2] * 20 + [9] * 30, [rng.randint(2, 200) for _ in range(60)] * 3]
+    for symbols in texts:
+        t = np.array([*symbols, 0], np.uint16)
+        want = sorted(range(len(t)), key=lambda k: t[k:].tolist())
+        shared = [0] + [next((j for j in range(12) if t[min(a + j, len(t) - 1)] != t[min(b + j, len(t) - 1)]), 12) for a, b in zip(want, want[1:])]
+        for memory in (10**6, 3):
+            order, common = suffix_sort.suffix_order(t, len(t), memory, cap=12)
+            assert order.tolist() == want and common.tolist() == shared
 
 
 def test_pieces_have_equal_anchors():
