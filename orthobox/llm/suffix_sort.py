@@ -12,8 +12,8 @@ other, with separators, and their suffixes are sorted by induction:
   that, batches go to a scratch file of the task and are read back when their bucket's turn comes;
 - substrings between leftmost S suffixes are named in the order that a first induction gives, and the string of names is sorted
   recursively in the same way: a name is written as two digits, so that the alphabet stays small, and the suffixes that begin
-  at a first digit are in the order of the names. Where the digits are no shorter than the text was, ranks are doubled
-  instead, until names are unique or cover `length` bytes;
+  at a first digit are in the order of the names. Beyond LEVELS, and where the digits are no shorter than the text was, ranks
+  are doubled instead, until names are unique or cover `length` bytes;
 - common-prefix values, capped at `length`, are measured between neighbours among the leftmost S suffixes and from there on
   carried through induction: two neighbours in a bucket share one symbol more than the least of the values between the
   suffixes that passed them on. Where the value reaches the cap, two windows are equal; a group of equal windows takes the
@@ -43,6 +43,7 @@ from orthobox.llm.repeats import Plan, remove_repeats
 MOST = 1_000_000  # bytes that are sorted at a time; an anchor with more is split (see repeats.py)
 MEMORY = 8_000_000  # entries that the queues of a task hold before they use the disk
 END, GAP, SYMBOLS = 0, 1, 258  # bytes are shifted by 2
+LEVELS = 1  # of recursion
 SHRINKS = 0.8  # of the text's size, the most that a string of digits may have to be sorted recursively
 
 
@@ -234,7 +235,7 @@ def _common(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
-def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY, symbols: int = SYMBOLS, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY, symbols: int = SYMBOLS, cap: int = 0, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of t, whose last symbol is the only END, sorted at least by their first `depth` symbols, and the common prefix
     of each and the one before it, up to cap."""
     s_type = _types(t)
@@ -247,11 +248,11 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = MEMORY, symbols: int =
     rank = _named(t, starts, once[is_start[once]])
     del once, is_start
     names, span = int(rank.max()) + 1, 1
-    if names < len(rank) and 2 * len(rank) < SHRINKS * len(t):
+    if levels and names < len(rank) and 2 * len(rank) < SHRINKS * len(t):
         base = int(np.ceil(np.sqrt(names + 1)))
         digits = np.zeros(2 * len(rank) + 1, np.uint16)
         digits[:-1:2], digits[1::2] = rank // base + 1, rank % base + 1
-        order = suffix_order(digits, depth, memory, base + 2)[0]
+        order = suffix_order(digits, depth, memory, base + 2, levels=levels - 1)[0]
         seeds = starts[order[(order % 2 == 0) & (order < 2 * len(rank))] >> 1]
     else:
         while rank.max() + 1 < len(rank) and span < depth:
