@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
 GROUP_BYTES, BLOCK = 16_000_000, 1 << 19
-SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 16_000_000, 16_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
+SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 32_000_000, 16_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
 COUNT_BITS = 20
 LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
