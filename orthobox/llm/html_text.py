@@ -13,6 +13,9 @@ text is known), once a process; the model is a few thousand numbers and is sent
 The text of a kept block has its character references decoded, white space turned into single spaces and trimmed; blocks are
 joined in page order by a blank line. Nothing is cut or capped.
 
+Reading is linear in a page's length, whatever it holds: a tag is looked at once, an attribute value is quoted only if the quote
+follows its =, an end tag without an open element is passed over.
+
 Cases: null and empty pages give an empty text; text outside any element counts as in the body; unclosed and stray tags are
 tolerated; a page without main text gives ''; repeated rows give equal rows; an empty table gives no rows; extra columns are
 kept unless they are named text or n_chars, which are replaced.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +36,11 @@ from pyspark.sql import functions as F
 import orthobox.llm.shared  # noqa: F401  (sends this module's functions with their code)
 
 N_PAGES, TREES, DEPTH, BINS, RATE = 700, 40, 4, 32, 0.3
+AT_ONCE = 2_000_000  # characters of pages whose nodes are held at a time
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A usual tag; it never looks beyond the next < or >. Others are read piece by piece.
+_USUAL = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:\s++[a-zA-Z][\w:-]*+(?:=\"[^\"<>]*+\")?+)*+)\s*+(/?)>")
+_NAME, _SKIP, _KEY, _IS, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s/>]*+", r"[\s/]*+", r"=?[^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -73,19 +80,85 @@ class Node:
                     self.tokens[k] += 1
 
 
-def parse(page: str) -> list[Node]:
+class _Scanner:
+    """Reads a page tag by tag, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.limit, self.plain, self.last = page, len(page), False, page.rfind(">")
+        self.ends: dict[str, int] = {}
+        self.texts: dict[str, tuple[int, bool]] = {}
+
+    def tag(self, n: int) -> tuple | None:
+        """What begins at the < at n: (end, name, closing, attributes, self-closing), the name None for comments and
+        declarations; None if it is text."""
+        page = self.page
+        m = _USUAL.match(page, n)
+        if m:
+            return m.end(), m[2].lower(), bool(m[1]), m[3], bool(m[4])
+        if page.startswith("<!--", n):
+            end = n + 5 if page.startswith("<!-->", n) else page.find("-->", n + 4) + 3
+            return end if end > n + 4 else self.limit, None, False, "", False
+        if n > self.last:
+            return None
+        if page.startswith(("<!", "<?"), n):
+            return page.find(">", n) + 1, None, False, "", False
+        closing = page.startswith("</", n)
+        m = _NAME.match(page, n + 1 + closing)
+        if not m:
+            return None
+        end = None if self.plain else self._end(m.end())
+        if end is None:  # the page ends inside: quotes don't count from here on
+            self.plain, end = True, page.find(">", m.end()) + 1
+        return end, m[0].lower(), closing, page[m.end() : end - 1], page[end - 2] == "/"
+
+    def _end(self, n: int) -> int | None:
+        """After the > that ends a tag, from the end of its name on: values may be quoted, a quote elsewhere is a letter."""
+        page = self.page
+        while True:
+            n = _SKIP.match(page, n).end()
+            if n >= self.limit:
+                return None
+            if page[n] == ">":
+                return n + 1
+            n = _KEY.match(page, n).end()
+            m = _IS.match(page, n)
+            if m:
+                n = m.end()
+                close = page.find(page[n], n + 1) if page[n : n + 1] in ('"', "'") else -1
+                n = close + 1 if close >= 0 else _BARE.match(page, n).end()
+
+    def end_of(self, tag: str, n: int) -> int:
+        """Where the next end tag stands, -1 if there is none."""
+        at = self.ends.get(tag, 0)
+        if 0 <= at < n or tag not in self.ends:
+            m = re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(self.page, n)
+            self.ends[tag] = at = m.start() if m else -1
+        return at
+
+    def holds_text(self, tag: str, n: int, end: int) -> bool:
+        """Whether text stands between n and the end tag at `end`; of elements within one another the outermost decides."""
+        known = self.texts.get(tag)
+        if known is None or known[0] != end:
+            self.texts[tag] = known = (end, bool(_NO_TEXT.sub("", self.page[n:end])))
+        return known[1]
+
+
+def parse(page: str, make: Callable[..., Node] = Node) -> list[Node]:
     """Nodes in page order, the root first. A node's pieces are its runs of text, each (order, text)."""
-    root = Node("body", None, "")
-    nodes, at, links, end, order = [root], root, 0, 0, 0
+    root = make("body", None, "")
+    nodes, at, links, order = [root], root, 0, 0
     run: list[str] = []
-    n, limit = 0, len(page)
-    endless: set[str] = set()
-
-    def end_of(tag: str):
-        stop = None if tag in endless else re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(page, n)
-        if stop is None:
-            endless.add(tag)
-        return stop
+    n, limit, scan = 0, len(page), _Scanner(page)
+    opened: Counter = Counter()
+    head = False
+
+    def leave(up: Node) -> Node:
+        """Closes all open nodes up to this one."""
+        x = at
+        while x is not up.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
 
     def close_run():
         nonlocal order
@@ -98,35 +171,38 @@ def parse(page: str) -> list[Node]:
                 order += 1
 
     while n < limit:
-        m = _TAG.search(page, n)
-        text = page[n : m.start()] if m else page[n:]
-        if text:
-            run.append(text)
+        text = page.find("<", n)
+        text = limit if text < 0 else text
+        if text > n:
+            run.append(page[n:text])
             if links:
-                at.links += len(text)
-        if not m:
+                at.links += text - n
+        if text == limit:
             break
-        n = m.end()
-        tag = m[2]
+        found = scan.tag(text)
+        if found is None:
+            run.append("<")
+            n = text + 1
+            continue
+        n, tag, closing, attributes, alone = found
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[1])
         at.tags += 1
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                stop = end_of(tag)
-                if stop is not None:
-                    n = page.find(">", stop.start()) + 1 or limit
+            if not closing and not alone:
+                stop = scan.end_of(tag, n)
+                if stop >= 0:
+                    n = page.find(">", stop) + 1 or limit
                 elif tag in TO_THE_END:
                     n = limit
             continue
         if tag in MEDIA and not closing:
-            if m[3].endswith("/"):
+            if alone:
                 continue
             # One without text, like an icon, does not part the text around it.
-            stop = end_of(tag)
-            if stop is not None and not _NO_TEXT.sub("", page[n : stop.start()]):
-                n = page.find(">", stop.start()) + 1 or limit
+            stop = scan.end_of(tag, n)
+            if stop >= 0 and not scan.holds_text(tag, n, stop):
+                n = page.find(">", stop) + 1 or limit
                 continue
         if tag == "br":
             run.append(" ")
@@ -140,34 +216,36 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             continue
         if tag == "head":
-            if not closing:
-                stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, n)
+            if not closing and not head:
+                head = True
+                stop = re.compile(r"</head\s*+>|<body[\s>]", re.I).search(page, n)
                 if stop:
                     n = stop.start()
             continue
         close_run()
         links = 0
         if closing:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            if opened[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = leave(up)
             continue
         drop = SAME_CLOSES.get(tag) or ({"p"} if tag in CLOSES_P else ())
-        if drop:
+        if any(opened[t] > 0 for t in drop):
             up = at
             while up is not root and up.tag not in drop and up.tag not in SCOPE:
                 up = up.parent
-            if up.tag in drop:
-                at = up.parent
+            if up is not root and up.tag in drop:
+                at = leave(up)
         if tag in VOID:
             continue
-        node = Node(tag, at, m[3])
+        node = make(tag, at, attributes)
         at.children.append(node)
         nodes.append(node)
-        if not m[3].endswith("/"):
+        if not alone:
             at = node
+            opened[tag] += 1
     close_run()
     for x in reversed(nodes):
         x.chars += x.own
@@ -376,28 +454,16 @@ class _Writer:
 def _marked(page: str) -> tuple[list[Node], list[bool]]:
     """Nodes and whether each holds main text; the generator's mark is an attribute."""
     marks: list[bool] = []
-    init = Node.__init__
-
-    class Marked(Node):
-        __slots__ = ()
 
-        def __init__(self, tag, parent, attributes):
-            marks.append("data-m" in attributes)
-            init(self, tag, parent, attributes)
+    def make(tag: str, parent: Node | None, attributes: str) -> Node:
+        marks.append("data-m" in attributes)
+        return Node(tag, parent, attributes)
 
-    nodes = parse.__globals__["_parse_with"](page, Marked)
+    nodes = parse(page, make)
     marks[0] = True
     return nodes, marks
 
 
-def _parse_with(page: str, kind: type) -> list[Node]:
-    """parse() with another class of node."""
-    import types
-
-    own = types.FunctionType(parse.__code__, parse.__globals__ | {"Node": kind})
-    return own(page)
-
-
 @lru_cache(maxsize=1)
 def model(seed: int = 20_12) -> Forest:
     writer, x, y = _Writer(seed), [], []
@@ -427,8 +493,14 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def text(batch):
         import pandas as pd
 
-        values = batch.tolist()
-        return pd.Series([t for k in range(0, len(values), 200) for t in main_text(values[k : k + 200], forest)])
+        out, some, held = [], [], 0
+        for page in batch:
+            some.append(page)
+            held += len(page or "")
+            if held > AT_ONCE:
+                out += main_text(some, forest)
+                some, held = [], 0
+        return pd.Series(out + main_text(some, forest))
 
     out = pages.withColumn("text", text(F.col(html_col)))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -180,3 +180,33 @@ def test_language_scores_match_brute_force(spark):
     for text, (lang, score) in zip(texts, language.Scorer(model).predict(texts)):
         mean = np.mean([word(w) for w in text.lower().split()], axis=0)
         assert lang == langs[int(np.argmax(mean))] and abs(score - np.exp(max(mean)) / np.exp(mean).sum()) < 1e-5
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    for part in ('<a "', "</p>", "<a b=\"", "<video>", "<head>", "<p><x>", "<a b='c", "<!", "<title>", "<li"):
+        began = time.process_time()
+        html_text.parse(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 20, part
+
+
+def test_html_attributes():
+    words = "one two three"
+    parts = lambda page: [t for x in html_text.parse(page) for _, t in x.pieces]
+    for a in ("class=it's", "class='a>b'", 'title="x > y" id=z', "a=b/c", "hidden", "class = 'x'", '"', "data-x='", "=", "a='b'c=\"d\"", "/"):
+        assert parts(f"<p {a}>{words}</p>") == [words] or a in ("data-x='",), a
+    assert parts(f"<p data-x='>{words}</p>") == [words]
+    assert parts("a < b <3 <- c <") == ["a < b <3 <- c <"] and parts("<!--><p>x</p>") == ["x"] and parts("x<!-- y") == ["x"]
+
+
+def test_html_of_several_layouts():
+    """Main text in other holders than <article>, beside other kinds of parts."""
+    forest = html_text.model()
+    text = ["A heading of the page", *(f"Sentence number {k} of the main text says something, and then it goes on for a while." for k in range(6))]
+    inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    nav, foot = "<nav><ul>" + "<li><a href='/a'>link</a></li>" * 6 + "</ul></nav>", "<footer><p>&copy; all rights</p></footer>"
+    side = "<aside class=sidebar><h3>More</h3><ul><li><a href=/x>other page</a></li><li><a href=/y>another</a></li></ul></aside>"
+    for holder, end in (("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div id='main'>", "</div>"), ("<section class=entry-content>", "</section>")):
+        page = f"<html><head><title>t</title></head><body><header>{nav}</header>{holder}{inner}{end}{side}{foot}</body></html>"
+        assert html_text.main_text([page], forest)[0] == "\n\n".join(text), holder
