@@ -37,7 +37,7 @@ def main() -> None:
         "load_orders": lambda: layout.write_clustered(tables.orders4(spark, sf), stores["orders4"], ORDERS4, 8),
         "box_q1": lambda: box(0).count(),
         "box_q4": lambda: box(3).count(),
-        "box_unclustered_q4": lambda: search.range_search(tables.lineitem7(spark, sf), boxes[3]).count(),
+        "box_unclustered_q4": lambda: search.range_search(tables.lineitem7(spark, sf, boxes[3]), boxes[3]).count(),
         "box_batch_10": lambda: search.batch_counts(spark.read.parquet(stores["lineitem7"]), boxes, LINEITEM7).collect(),
         "box_batch_1000": lambda: search.batch_counts(orders(), many, ORDERS4).collect(),
         "lookup_one": lambda: lookup.lookup(orders(), 42, ORDERS4).collect(),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from orthobox.schema import WORD_BITS, PointSchema
 
+CHUNK = 8  # bits of a value that one table look-up spreads
+
 
 def get_bit(value: Column, bit: int) -> Column:
     return F.shiftright(value, bit).bitwiseAND(F.lit(1).cast("long"))
@@ -37,15 +39,40 @@ def kth_set_bit(value: Column, k: int) -> Column:
     return F.get(bits, F.lit(k)).cast("long")
 
 
-def _packed(bits: list[Column]) -> Column:
-    """Bits, the most significant first, as one long."""
-    terms = [F.shiftleft(b, len(bits) - 1 - k) for k, b in enumerate(bits)]
+def _table(values: list[int]) -> Column:
+    """A constant array. As one string it is a single literal, which the optimizer folds into an array once a plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _spread(value: Column, moves: dict[int, int]) -> list[Column]:
+    """Terms whose bitwise or has bit `moves[b]` set where the value has bit b: one look-up for every CHUNK bits."""
+    out = []
+    for low in range(0, max(moves) + 1, CHUNK):
+        here = {b - low: to for b, to in moves.items() if low <= b < low + CHUNK}
+        if not here:
+            continue
+        size = 1 << (max(here) + 1)
+        table = [sum(1 << to for b, to in here.items() if v >> b & 1) for v in range(size)]
+        at = F.shiftright(value, low).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
+        out.append(F.get(_table(table), at) if len(here) > 1 else F.shiftleft(get_bit(value, low + max(here)), here[max(here)]))
+    return out
+
+
+def _or(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), terms) if terms else F.lit(0).cast("long")
 
 
+def _packed(bits: list[tuple[str, int]]) -> Column:
+    """(attribute, bit) pairs, the most significant first, as one long."""
+    moves: dict[str, dict[int, int]] = {}
+    for k, (name, b) in enumerate(bits):
+        moves.setdefault(name, {})[b] = len(bits) - 1 - k
+    return _or([t for name, m in moves.items() for t in _spread(F.col(name), m)])
+
+
 def level_symbol(schema: PointSchema, level: int) -> Column:
     """One bit of each attribute that takes part in the level, the first attribute's being the most significant."""
-    return _packed([get_bit(F.col(a.name), a.width - level - 1) for a in schema.level_members(level)])
+    return _packed([(a.name, a.width - level - 1) for a in schema.level_members(level)])
 
 
 def full_symbol(schema: PointSchema, level: int) -> int:
@@ -57,7 +84,7 @@ def words(schema: PointSchema) -> list[Column]:
     """The key as longs of WORD_BITS bits, most significant first; the last may hold fewer. Comparing them in turn is
     comparing keys."""
     bits = schema.key_bits()
-    return [_packed([get_bit(F.col(name), b) for name, b in bits[k : k + WORD_BITS]]) for k in range(0, len(bits), WORD_BITS)]
+    return [_packed(bits[k : k + WORD_BITS]) for k in range(0, len(bits), WORD_BITS)]
 
 
 def word_names(schema: PointSchema) -> list[str]:
@@ -77,12 +104,12 @@ def binary_key(schema: PointSchema) -> Column:
 def decoded(schema: PointSchema, names: list[str] | None = None) -> dict[str, Column]:
     """Each attribute from the words of a key."""
     names, bits = names or word_names(schema), schema.key_bits()
-    out: dict[str, list[Column]] = {a: [] for a in schema.names}
+    moves: dict[str, dict[int, dict[int, int]]] = {a: {} for a in schema.names}
     for k, (name, bit) in enumerate(bits):
         word, at = divmod(k, WORD_BITS)
         size = min(WORD_BITS, len(bits) - word * WORD_BITS)
-        out[name].append(F.shiftleft(get_bit(F.col(names[word]), size - 1 - at), bit))
-    return {a: reduce(lambda x, y: x.bitwiseOR(y), terms) for a, terms in out.items()}
+        moves[name].setdefault(word, {})[size - 1 - at] = bit
+    return {a: _or([t for word, m in own.items() for t in _spread(F.col(names[word]), m)]) for a, own in moves.items()}
 
 
 def prefix(schema: PointSchema, level: int) -> list[Column]:

@@ -23,8 +23,8 @@ def lookup_many(points: DataFrame, keys: DataFrame, schema: PointSchema) -> Data
 
 
 def latest(points: DataFrame, sequence: str) -> DataFrame:
-    """Of the rows with one key the one inserted last; equal sequence numbers keep one of the rows."""
-    last = Window.partitionBy("pk").orderBy(F.desc(sequence))
+    """Of the rows with one key the one inserted last; of equal sequence numbers the row that is greatest, column by column."""
+    last = Window.partitionBy("pk").orderBy(F.desc(sequence), *[F.desc(c) for c in sorted(points.columns) if c not in ("pk", sequence)])
     return points.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from orthobox.functions import morton
 from orthobox.operators import layout, lookup, search
-from orthobox.plans.box import LINEITEM_LINES, REPOSITORY_LINES, TAXI_LINES, BoxQuery, random_boxes
+from orthobox.plans.box import LINEITEM_LINES, REPOSITORY_LINES, TAXI_LINES, BoxQuery, corpus_frame, random_boxes
 from orthobox.schema import EVENTS5, GITHUB10, LINEITEM7, NYC15, ORDERS4, WORD_BITS, PointSchema
 from orthobox.sources import tables
-from orthobox.sources.files import synthetic
+from orthobox.sources.files import synthetic, zipf_keys
+from orthobox.streaming.ingest import plan_mixed, run_mixed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +49,7 @@ def _where(**bounds) -> str:
 
 def _box(name: str, of: str, sql_bounds: dict, box: BoxQuery, **options) -> None:
     schema, points = _SCHEMAS[of]
-    _register(name, f"SELECT {', '.join(schema.names)} FROM p WHERE {_where(**sql_bounds)}", of)(lambda spark, d: search.range_search(points(spark, d), box, **options))
+    _register(name, f"SELECT {', '.join(schema.names)} FROM p WHERE {_where(**sql_bounds)}", of)(lambda spark, d: search.range_search(points(spark, d, box), box, **options))
 
 
 _Q = ("quantity", "discount", "shipdate", "orderdate")
@@ -287,22 +288,78 @@ def corpus_parse(spark, d):
     return spark.createDataFrame(rows, "box string, attribute string, low int, high int").fillna(-1)
 
 
-@_register("synthetic_points")
+_UNIFORM = "('0x' || substr(md5(concat_ws('|', '7', {0}, id::VARCHAR)), 1, 8))::BIGINT"
+
+
+@_register("synthetic_points", "SELECT id AS a0, " + ", ".join(f"{_UNIFORM.format(repr(str(k - 1)))} % 65536 + 1 AS a{k}" for k in range(1, 9)) + " FROM range((SELECT count(*) FROM events)) t(id)")
 def synthetic_points(spark, d):
-    """10,000 points of nine attributes; every one is in the box over everything."""
+    """As many points of nine attributes as there are events; every one is in the box over everything."""
     from orthobox.schema import Attribute
 
     schema = PointSchema("uniform9", tuple(Attribute(f"a{k}", 32) for k in range(9)))
-    return search.range_search(synthetic(spark, 10_000, schema), BoxQuery(schema, {a: (0, 65536) for a in schema.names}))
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    return search.range_search(synthetic(spark, n, schema), BoxQuery(schema, {a: (0, None) for a in schema.names}))
 
 
-@_register("storage_report")
+@_register("zipf_lookups", f"SELECT (pk % 20)::INTEGER AS shard, count(*)::BIGINT AS n FROM p JOIN (SELECT floor(pow(5001.0::DOUBLE, {_UNIFORM.format(repr('zipf'))} / 4294967296.0::DOUBLE))::BIGINT AS k FROM range((SELECT count(*) FROM lineitem)) t(id)) ON pk = k GROUP BY 1", "orders4")
+def zipf_lookups(spark, d):
+    """As many lookups as there are line items, by keys of a Zipf distribution, counted by the shard that answers."""
+    keys = zipf_keys(spark, spark.read.parquet(f"{d}/lineitem.parquet").count(), 5000)
+    return layout.shard_counts(lookup.lookup_many(tables.orders4(spark, d), keys, ORDERS4), 20)
+
+
+@_register("storage_report", "SELECT 16::BIGINT AS files, count(*)::BIGINT AS rows, true AS sized FROM orders")
 def storage_report(spark, d):
+    """Files and rows of a store of 16 files, from the sizes of each."""
     from orthobox.queries_util import scratch
 
     path = scratch(spark)
     layout.write_clustered(tables.orders4(spark, d), path, ORDERS4, 16)
-    return layout.storage_report(spark, path)
+    each = layout.file_sizes(spark, path)
+    return each.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("sized"))
+
+
+_COUNTED = BoxQuery(ORDERS4, {"totalprice": (20000000, 30000000), "priority": (None, 3)})
+
+
+@_register("box_counters", f"SELECT count(*)::BIGINT AS checked, count_if({_where(**_COUNTED.bounds)})::BIGINT AS found FROM p", "orders4")
+def box_counters(spark, d):
+    """Points that a search looked at and points that it found."""
+    found, seen = search.counted(tables.orders4(spark, d), _COUNTED)
+    found.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["checked"], seen.get["found"])], "checked long, found long")
+
+
+def _corpus_lines() -> list[str]:
+    """1000 lines of the corpus grammar over orders, some bounds open: every k-th attribute of every k-th line."""
+    out = []
+    for q, box in enumerate(random_boxes(ORDERS4, 1000, seed=21, names=["totalprice", "orderdate", "priority"])):
+        parts = []
+        for k, (a, (lo, hi)) in enumerate(box.bounds.items()):
+            if (q + k) % 4 != 3:
+                up = ORDERS4.at(a).offset
+                parts.append(f"{ORDERS4.names.index(a)},{-1 if (q + k) % 5 == 1 else lo + up},{-1 if (q + k) % 7 == 2 else hi + up}")
+        out.append(",".join(parts))
+    return out
+
+
+_LINES = _corpus_lines()
+
+
+def _values_sql(boxes: list[BoxQuery], schema: PointSchema) -> str:
+    rows = [", ".join([str(q), *["NULL" if v is None else str(v) for a in schema.names for v in b.bounds.get(a, (None, None))]]) for q, b in enumerate(boxes)]
+    return f"(VALUES {', '.join(f'({r})' for r in rows)}) b(qid, {', '.join(f'{a}_{e}' for a in schema.names for e in ('lo', 'hi'))})"
+
+
+@_register("box_corpus_1000", f"SELECT qid::BIGINT AS qid, count(p.pk)::BIGINT AS found FROM {_values_sql([BoxQuery.parse(x, ORDERS4) for x in _LINES], ORDERS4)} LEFT JOIN p ON " + " AND ".join(f"({a}_lo IS NULL OR {a} >= {a}_lo) AND ({a}_hi IS NULL OR {a} <= {a}_hi)" for a in ORDERS4.names) + " GROUP BY qid", "orders4")
+def box_corpus_1000(spark, d):
+    """A query file of 1000 lines, read as a table and searched in one pass."""
+    from orthobox.queries_util import scratch
+
+    path = scratch(spark)
+    spark.createDataFrame([(x,) for x in _LINES], "value string").coalesce(1).write.text(path)
+    boxes = search.boxes_of_corpus(corpus_frame(spark, path), ORDERS4)
+    return search.batch_counts(tables.orders4(spark, d), boxes, ORDERS4)
 
 
 @_register("clustered_box", f"SELECT {', '.join(LINEITEM7.names)} FROM p WHERE {_where(**_LINE_BOUNDS[3])}", "lineitem7")
@@ -376,9 +433,10 @@ def sharded_store_counts(spark, d):
     return found.groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"))
 
 
-@_register("files_met", "SELECT 'clustered' AS layout, true AS fewer UNION ALL SELECT 'scattered', false")
+@_register("files_met", " UNION ALL ".join(f"SELECT '{name}' AS layout, {fewer} AS fewer, qid, found FROM ({_boxes_sql(_CORPUS)})" for name, fewer in (("clustered", "true"), ("scattered", "false"))), "lineitem7")
 def files_met(spark, d):
-    """Whether the corpus boxes meet fewer than half of a store's files: clustered by key, and scattered."""
+    """(layout, fewer, qid, found): whether the corpus boxes meet fewer than half of a store's files, clustered by key and
+    scattered, and how many points of each box lie in the files that it meets: all of them."""
     from orthobox.queries_util import scratch
 
     points, out = tables.lineitem7(spark, d), []
@@ -389,16 +447,36 @@ def files_met(spark, d):
         else:
             points.repartition(32).write.parquet(path)
         ranges = layout.file_ranges(spark, path, LINEITEM7).cache()
-        share = sum(layout.files_met(ranges, b) for b in _CORPUS) / (len(_CORPUS) * ranges.count())
-        out.append((name, share < 0.5))
-    return spark.createDataFrame(out, "layout string, fewer boolean")
+        met = ranges.select("file", *[layout.meets(b).alias(f"m{q}") for q, b in enumerate(_CORPUS)])
+        share = ranges.agg(*[F.avg(layout.meets(b).cast("int")).alias(f"m{q}") for q, b in enumerate(_CORPUS)]).first()
+        stored = spark.read.parquet(path).select(*LINEITEM7.names, F.col("_metadata.file_path").alias("file"))
+        row = stored.join(F.broadcast(met), "file").agg(*[F.count_if(F.col(f"m{q}") & b.predicate()).alias(f"m{q}") for q, b in enumerate(_CORPUS)]).first()
+        out += [(name, sum(share) / len(_CORPUS) < 0.5, q, n) for q, n in enumerate(row)]
+    return spark.createDataFrame(out, "layout string, fewer boolean, qid long, found long")
+
+
+_MIX = {"weights": (5, 95, 5), "operations": 201, "seed": 3, "rounds": 2, "max_pk": 14_999}
+
+
+def _mixed_sql() -> str:
+    """Each round's lookups and searches over the points that the store holds by then."""
+    plan, inserted, parts = plan_mixed(ORDERS4, *_MIX.values()), 0, {"insert": [], "lookup": [], "search": []}
+    for n, keys, boxes in plan:
+        inserted += n
+        parts["lookup"].append(f"(SELECT count(*) FROM s JOIN (VALUES {', '.join(f'({k})' for k in keys)}) t(k) ON pk = k WHERE nth <= {inserted})")
+        parts["search"] += [f"(SELECT count(*) FROM s WHERE nth <= {inserted} AND {_where(**b.bounds)})" for b in boxes]
+    parts["insert"].append(f"(SELECT count(*) FROM s WHERE nth BETWEEN 1 AND {inserted})")
+    counts = {"insert": inserted, "lookup": sum(len(p[1]) for p in plan), "search": sum(len(p[2]) for p in plan)}
+    rows = [f"SELECT '{k}' AS kind, {counts[k]}::BIGINT AS operations, ({' + '.join(parts[k])})::BIGINT AS rows" for k in parts]
+    return "s AS (SELECT *, CASE WHEN pk % 10 = 0 THEN row_number() OVER (PARTITION BY pk % 10 = 0 ORDER BY pk) ELSE 0 END AS nth FROM p) " + " UNION ALL ".join(rows)
 
 
 @_register("mixed_workload")
 def mixed_workload(spark, d):
-    """(kind, operations, rows) of a seeded mix of inserts, lookups and searches."""
-    from orthobox.streaming.ingest import run_mixed
-
+    """(kind, operations, rows) of a seeded mix of inserts, lookups and searches over a store that grows."""
     points = tables.orders4(spark, d)
-    done = run_mixed(spark, points.where("pk % 10 != 0"), points.where("pk % 10 = 0"), ORDERS4, (5, 95, 5), 200, rounds=2)
+    done = run_mixed(spark, points.where("pk % 10 != 0"), points.where("pk % 10 = 0"), ORDERS4, **_MIX)
     return spark.createDataFrame([(k, v["operations"], int(v["rows"])) for k, v in done.items()], "kind string, operations long, rows long")
+
+
+SQL["mixed_workload"] = f"WITH {_POINTS['orders4']}, {_mixed_sql()}"

@@ -1,4 +1,4 @@
-"""Scratch folders of queries that write a store first."""
+"""Scratch folders of loads and of queries that write a store first."""
 
 from __future__ import annotations
 
@@ -9,9 +9,17 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, or in a temporary one where that is unset."""
+    """A fresh path in the folder that spark.checkpoint.dir names. Where that is unset, a temporary folder of this machine in
+    local mode, and an error on a cluster, whose executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="orthobox-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -173,7 +173,7 @@ def test_store(spark, tmp_path):
 
 
 def test_filters_are_pushed_and_no_python_runs(spark, sf):
-    plan = search.range_search(tables.events5(spark, sf), BoxQuery(EVENTS5, {"user_id": (10, 20)}))._jdf.queryExecution().toString()
+    plan = search.range_search(tables.events5(spark, sf, BoxQuery(EVENTS5, {"user_id": (10, 20)})), BoxQuery(EVENTS5, {"user_id": (10, 20)}))._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(user_id,10)" in plan and "LessThanOrEqual(user_id,20)" in plan
     for name in queries.QUERIES:
         if name in ("box_lineitem_q1", "box_count_batch", "lookup_many", "check_absent", "morton_words", "morton_roundtrip", "level_nodes", "insert_same_pk_latest"):
@@ -192,3 +192,43 @@ def test_workloads(spark, tmp_path):
     arriving = _points(spark, [(1000 + k, *r[1:]) for k, r in enumerate(_rows(100, 3))])
     done = run_mixed(spark, points, arriving, SMALL, (1, 5, 1), 28, seed=1, rounds=2, max_pk=499)
     assert done["lookup"]["rows"] == done["lookup"]["operations"] and sum(d["operations"] for d in done.values()) == 28
+
+
+@pytest.mark.parametrize("read, box, pushed", [
+    (tables.events5, BoxQuery(EVENTS5, {"day": (240105, 240112), "value": (100, None), "event_type": (2, 3)}), ["GreaterThanOrEqual(ts,2024-01-05", "LessThan(ts,2024-01-13", "GreaterThanOrEqual(value,", "In(event_type, [purchase,signup])"]),
+    (tables.orders4, BoxQuery(ORDERS4, {"custkey": (None, 99), "totalprice": (20000000, None), "orderdate": (950230, 951340)}), ["LessThanOrEqual(o_custkey,99)", "GreaterThanOrEqual(o_totalprice,", "GreaterThanOrEqual(o_orderdate,1995-03-01", "LessThan(o_orderdate,1996-01-01"]),
+    (tables.lineitem7, BoxQuery.parse(LINEITEM_LINES[3], LINEITEM7), ["GreaterThanOrEqual(l_quantity,", "LessThanOrEqual(l_discount,", "GreaterThanOrEqual(l_shipdate,1995-01-01", "LessThan(o_orderdate,1998-08-03"]),
+])
+def test_every_bound_reaches_the_scan(spark, sf, read, box, pushed):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    found = search.range_search(read(spark, sf, box), box)
+    plan = found._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = " ".join(x.split("PushedFilters: ", 1)[1] for x in plan.split("\n") if "PushedFilters: " in x)
+    assert [p for p in pushed if p not in filters] == []
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.range_search(read(spark, sf), box).collect()))
+
+
+def test_batch_equals_single_with_nulls_and_overflow(spark):
+    rows = [(1, 1, 1, 1), (2, None, 2, 3), (3, 500, 3, 4), (4, -7, None, 5), (5, 63, 4, None), (6, None, None, None)] + _rows(60)
+    points = _points(spark, rows).cache()
+    boxes = [BoxQuery(SMALL, {"b": (0, 5)}), BoxQuery(SMALL, {"a": (None, 40), "b": (1, None)}), BoxQuery(SMALL, {"a": (30, None)}), BoxQuery(SMALL), BoxQuery(SMALL, {"a": (5, 2)}), BoxQuery(SMALL, {"a": (None, None), "c": (2, 9)}), *random_boxes(SMALL, 12, seed=8)]
+    want = {q: search.range_search(points, b).count() for q, b in enumerate(boxes)}
+    assert {r["qid"]: r["found"] for r in search.batch_counts(points, boxes, SMALL).collect()} == want
+    assert {r["qid"]: r["found"] for r in search.batch_counts(points, search.boxes_frame(spark, boxes, SMALL), SMALL).collect()} == want
+    found, seen = search.counted(points, boxes[0])
+    assert len(found.collect()) == want[0] == seen.get["found"] and seen.get["checked"] == len(rows)
+
+
+def test_split_files_check_values(spark, tmp_path):
+    (tmp_path / "x0.csv").write_text("1,500,1,1\n2,3,1,1\n")
+    assert sorted(r["pk"] for r in read_split(spark, str(tmp_path), SMALL, on_overflow="drop").collect()) == [2]
+    with pytest.raises(Exception, match="out of range"):
+        read_split(spark, str(tmp_path), SMALL).collect()
+
+
+def test_skip_without_limit(spark, tmp_path):
+    ids = [7, 7, 7, 1, 90000, 3, 3, 12, -4]
+    (tmp_path / "x0.csv").write_text("".join(f"{i},1,1,1\n" for i in ids))
+    for skip in range(len(ids) + 2):
+        assert sorted(r["pk"] for r in read_csv(spark, str(tmp_path), SMALL, skip=skip).collect()) == sorted(ids)[skip:]
