@@ -18,9 +18,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A fresh path below spark.checkpoint.dir. Where that is unset, a temporary folder of this machine in local mode (tests),
+    and an error on a cluster, whose executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="orthobox-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orthobox-{uuid.uuid4().hex}"

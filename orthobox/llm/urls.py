@@ -16,7 +16,7 @@ The models read the whole URL after its scheme, with query and fragment; host an
 Cases: null URLs and those without :// have empty host and path and fit no rule; of the latter the models read everything. A
 URL without characters scores 0. Without
 labelled URLs of both verdicts there is no evidence against any URL and the verdict is allow. Repeated URLs each get their
-row; an empty table gives no rows; extra columns are not read.
+row; an empty table gives no rows; extra columns are kept, but for host, path, rule, verdict and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthobox.llm.shared import spare
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-_"  # every digit counts as 0
 SYMBOLS = len(ALPHABET) + 2  # 0: any other character, the last: before the first character
 START = SYMBOLS - 1
@@ -53,15 +55,16 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return out
 
 
-def with_grams(df: DataFrame) -> DataFrame:
-    """Adds grams, one number for each character of _read, from it and the two before it:
+def with_grams(df: DataFrame, read: str, grams: str) -> DataFrame:
+    """Adds grams, one number for each character of read, from it and the two before it:
     (two before * SYMBOLS + before) * SYMBOLS + it. Each step is a column, so that none is computed anew for each character."""
-    flat = F.translate(F.lower("_read"), "123456789", "000000000")
+    made = spare(df, "codes_of_characters")
+    flat = F.translate(F.lower(F.col(read)), "123456789", "000000000")
     codes = F.transform(F.filter(F.split(flat, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    df = df.withColumn("_codes", F.concat(F.array(F.lit(START), F.lit(START)), codes))
-    at = F.when(F.size("_codes") > 2, F.sequence(F.lit(2), F.size("_codes") - 1)).otherwise(F.array().cast("array<int>"))
-    one = lambda i: (F.get("_codes", i - 2) * SYMBOLS + F.get("_codes", i - 1)) * SYMBOLS + F.get("_codes", i)
-    return df.withColumn("grams", F.transform(at, one)).drop("_codes")
+    df = df.withColumn(made, F.concat(F.array(F.lit(START), F.lit(START)), codes))
+    at = F.when(F.size(made) > 2, F.sequence(F.lit(2), F.size(made) - 1)).otherwise(F.array().cast("array<int>"))
+    one = lambda i: (F.get(made, i - 2) * SYMBOLS + F.get(made, i - 1)) * SYMBOLS + F.get(made, i)
+    return df.withColumn(grams, F.transform(at, one)).drop(made)
 
 
 def fit(labelled: DataFrame) -> DataFrame:
@@ -113,17 +116,18 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and score added."""
     host, path = host_and_path(F.col(url_col))
-    read = pages.withColumns({"host": host, "path": path, "_read": read_characters(F.col(url_col))})
-    read = read.withColumn("fits", rule_column(F.col("host"), F.col("path"), rules))
-    examples = with_grams(read.where(F.col("fits").isNotNull()).select(F.col("fits.verdict").alias("verdict"), "_read"))
-    examples = examples.select("verdict", "grams", (F.pmod(F.xxhash64("_read"), F.lit(5)) == 0).alias("kept_out"))
+    text, fits, grams = (spare(pages, c) for c in ("url_read", "url_fits", "url_grams"))
+    read = pages.withColumns({"host": host, "path": path, text: read_characters(F.col(url_col))})
+    read = read.withColumn(fits, rule_column(F.col("host"), F.col("path"), rules))
+    examples = with_grams(read.where(F.col(fits).isNotNull()).select(F.col(f"{fits}.verdict").alias("verdict"), F.col(text).alias("read")), "read", "grams")
+    examples = examples.select("verdict", "grams", (F.pmod(F.xxhash64("read"), F.lit(5)) == 0).alias("kept_out"))
     kinds = {r["verdict"] for r in examples.where(~F.col("kept_out")).select("verdict").distinct().collect()}
     if kinds == {"allow", "block"}:
         # As text, which the optimizer folds into one array.
         ratio = F.split(F.lit(",".join(map(str, fit(examples.where(~F.col("kept_out"))).first()[0]))), ",").cast("array<int>")
         cut = threshold(examples.where("kept_out").select("verdict", score(F.col("grams"), ratio).alias("score")))
-        out = with_grams(read).withColumn("score", score(F.col("grams"), ratio)).drop("grams")
+        out = with_grams(read, text, grams).withColumn("score", score(F.col(grams), ratio)).drop(grams)
     else:
         cut, out = 0.0, read.withColumn("score", F.lit(0.0))
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-    return out.withColumns({"rule": F.col("fits.rule"), "verdict": F.coalesce(F.col("fits.verdict"), method)}).drop("fits", "_read")
+    return out.withColumns({"rule": F.col(f"{fits}.rule"), "verdict": F.coalesce(F.col(f"{fits}.verdict"), method)}).drop(fits, text)

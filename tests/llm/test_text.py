@@ -210,3 +210,42 @@ def test_html_of_several_layouts():
     for holder, end in (("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div id='main'>", "</div>"), ("<section class=entry-content>", "</section>")):
         page = f"<html><head><title>t</title></head><body><header>{nav}</header>{holder}{inner}{end}{side}{foot}</body></html>"
         assert html_text.main_text([page], forest)[0] == "\n\n".join(text), holder
+
+
+def test_urls_scores_match_brute_force(spark):
+    """Counts, Witten-Bell interpolation, log ratios and the calibrated cut, over plain dictionaries."""
+    from collections import Counter
+
+    urls_of = [f"https://garden{k % 9}.example.net/en/roses-{k}" if k % 2 else f"http://casino{k % 7}.spam.net/win/{k}?bonus={k}" for k in range(160)] + ["https://x.org/fr/rose", "http://y.com/win", None, "", "casino", "https://Ünï.org/?a=1#B"]
+    df = spark.createDataFrame([(k, u, "g", [1], "c") for k, u in enumerate(urls_of)], "page_id long, url string, grams string, fits array<int>, url_read string")
+    out = urls.judge(df, URL_RULES)
+    assert {"grams", "fits", "url_read"} <= set(out.columns)
+    rows = {r["page_id"]: r for r in out.collect()}
+    kept_out = {r["u"]: r["k"] for r in spark.createDataFrame([((u or "").split("://", 1)[-1],) for u in urls_of], "u string").select("u", (F.pmod(F.xxhash64("u"), F.lit(5)) == 0).alias("k")).collect()}
+
+    def codes(text):
+        return [urls.START] * 2 + [urls.ALPHABET.find("0" if c in "123456789" else c) + 1 for c in text.lower()]
+
+    counts = {v: [Counter(), Counter(), Counter()] for v in ("allow", "block")}
+    for k, u in enumerate(urls_of):
+        read = (u or "").split("://", 1)[-1]
+        if rows[k]["rule"] and not kept_out[read]:
+            c = codes(read)
+            for i in range(2, len(c)):
+                for order in range(3):
+                    counts[rows[k]["verdict"]][order][tuple(c[i - order : i + 1])] += 1
+
+    def logp(v, gram):
+        p = 1 / urls.SYMBOLS
+        for order in range(3):
+            after = {g: n for g, n in counts[v][order].items() if g[:-1] == gram[2 - order : 2]}
+            n = sum(after.values())
+            if n:
+                p = (after.get(gram[2 - order :], 0) + len(after) * p) / (n + len(after))
+        return np.log(p)
+
+    memo = {}
+    for k, u in enumerate(urls_of):
+        c = codes((u or "").split("://", 1)[-1])
+        each = [memo.setdefault(g, round((logp("allow", g) - logp("block", g)) * 1000)) for g in (tuple(c[i - 2 : i + 1]) for i in range(2, len(c)))]
+        assert abs(rows[k]["score"] - (sum(each) / 1000 / len(each) if each else 0)) < 0.0021, u
