@@ -26,11 +26,11 @@ def load(points: DataFrame, path: str, schema: PointSchema, files: int) -> dict:
     return {"seconds": seconds, "rows_per_second": report["rows"] / max(seconds, 1e-9), **report}
 
 
-def lookups(points: DataFrame, schema: PointSchema, keys: range) -> dict:
-    """Keys looked up in one join."""
-    frame = points.sparkSession.range(keys.start, keys.stop, keys.step).withColumnRenamed("id", "pk")
+def lookups(points: DataFrame, schema: PointSchema, keys: range | DataFrame) -> dict:
+    """Keys, a range or a table (pk), looked up in one join."""
+    frame = points.sparkSession.range(keys.start, keys.stop, keys.step).withColumnRenamed("id", "pk") if isinstance(keys, range) else keys
     seconds, n = timed(lambda: lookup_many(points, frame, schema).count())
-    return {"seconds": seconds, "operations": len(keys), "rows": n}
+    return {"seconds": seconds, "operations": frame.count(), "rows": n}
 
 
 def searches(points: DataFrame, boxes: list[BoxQuery], schema: PointSchema, serial: bool = False) -> dict:

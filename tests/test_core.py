@@ -232,3 +232,32 @@ def test_skip_without_limit(spark, tmp_path):
     (tmp_path / "x0.csv").write_text("".join(f"{i},1,1,1\n" for i in ids))
     for skip in range(len(ids) + 2):
         assert sorted(r["pk"] for r in read_csv(spark, str(tmp_path), SMALL, skip=skip).collect()) == sorted(ids)[skip:]
+
+
+def test_command_line_workloads(spark, sf, tmp_path):
+    from orthobox import cli
+
+    store, done = str(tmp_path / "store"), {}
+    for workload in cli.WORKLOADS:
+        done[workload] = cli.run(spark, ORDERS4, sf, store, workload, operations=12)
+    assert done["insert"]["rows"] == done["storage"]["rows"] == 15000 and done["lookup"]["operations"] == done["zipf"]["operations"] == 12
+    assert done["zipf"]["rows"] == 12 and len(done["latency"]["latencies"]) == 12 and done["latency"]["rows"] == done["throughput"]["rows"]
+    assert all(sum(x["operations"] for x in done[m].values()) == 12 for m in cli.MIXES)
+    assert done["mixed_insert"]["insert"]["rows"] == done["mixed_insert"]["insert"]["operations"] > 0
+
+
+def test_widths_of_all_presets(spark, tmp_path):
+    """Stores of the published profiles, staggered and plain, find the same points."""
+    from orthobox.schema import GITHUB10
+
+    for schema in (TPCH9, GITHUB10, NYC15):
+        rng = random.Random(len(schema.names))
+        rows = [(k, *(rng.randint(0, a.largest) for a in schema.attributes)) for k in range(200)]
+        points = spark.createDataFrame(rows, "pk long, " + ", ".join(f"{a} long" for a in schema.names))
+        box = BoxQuery(schema, {a.name: (a.largest // 5, None) for a in schema.attributes[:4]})
+        want = {r[0] for r in rows if all(r[1 + schema.names.index(a)] >= lo for a, (lo, _) in box.bounds.items())}
+        for one in (schema, schema.plain()):
+            path = str(tmp_path / one.name)
+            layout.write_clustered(points, path, one, 4)
+            found = search.range_search(spark.read.parquet(path), BoxQuery(one, box.bounds), mode="rows")
+            assert {r["pk"] for r in found.collect()} == want and want
