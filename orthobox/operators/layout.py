@@ -19,6 +19,12 @@ def with_shard(points: DataFrame, n_shards: int) -> DataFrame:
     return points.withColumn("shard", F.pmod("pk", F.lit(n_shards)).cast("int"))
 
 
+def fitted(points: DataFrame, schema: PointSchema) -> PointSchema:
+    """The schema, wide enough for all points: attributes whose values outgrow their bits get more. One pass over the attributes."""
+    most = points.agg(*[F.max(a).alias(a) for a in schema.names]).first().asDict()
+    return schema.holding({a: max(0, v) for a, v in most.items() if v is not None})
+
+
 def write_clustered(points: DataFrame, path: str, schema: PointSchema, files: int, mode: str = "overwrite", rows_per_file: int = 0, by_shard: bool = False) -> None:
     """Writes points with their key, range-partitioned and sorted by it, so that the statistics of files and row groups
     bound every attribute. The pk gets a bloom filter, as the key's order says nothing about it."""

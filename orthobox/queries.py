@@ -313,8 +313,8 @@ def storage_report(spark, d):
     """Files and rows of a store of 16 files, from the sizes of each."""
     from orthobox.queries_util import scratch
 
-    path = scratch(spark)
-    layout.write_clustered(tables.orders4(spark, d), path, ORDERS4, 16)
+    path, points = scratch(spark), tables.orders4(spark, d)
+    layout.write_clustered(points, path, layout.fitted(points, ORDERS4), 16)
     each = layout.file_sizes(spark, path)
     return each.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("sized"))
 

@@ -90,6 +90,11 @@ class PointSchema:
             raise ValueError(f"dims must be between 1 and {len(self.attributes)}")
         return replace(self, name=f"{self.name}_{dims}d", attributes=self.attributes[:dims])
 
+    def holding(self, largest: dict[str, int]) -> "PointSchema":
+        """The same attributes with as many bits more as these stored values need. Its keys are not those of this schema where
+        it is wider: a store is searched with the schema that it was written with."""
+        return replace(self, attributes=tuple(replace(a, width=max(a.width, a.start + largest.get(a.name, 0).bit_length())) for a in self.attributes))
+
     def plain(self) -> "PointSchema":
         """The same attributes without staggered start levels: all take part from level 0."""
         return replace(self, name=f"{self.name}_plain", attributes=tuple(replace(a, width=a.bits, start=0) for a in self.attributes))

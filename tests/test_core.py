@@ -261,3 +261,27 @@ def test_widths_of_all_presets(spark, tmp_path):
             layout.write_clustered(points, path, one, 4)
             found = search.range_search(spark.read.parquet(path), BoxQuery(one, box.bounds), mode="rows")
             assert {r["pk"] for r in found.collect()} == want and want
+
+
+@pytest.fixture(scope="module")
+def more_orders(tmp_path_factory):
+    """A folder with orders three times over, keys shifted: customers' keys outgrow the bits that ORDERS4 has for them."""
+    path = tmp_path_factory.mktemp("more")
+    duckdb.sql(f"COPY (SELECT o_orderkey * 3 + k AS o_orderkey, o_custkey + k * 15000 AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM '/root/testdata/sf0.01/orders.parquet', range(3) t(k)) TO '{path}/orders.parquet'")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["storage_report"])
+def test_values_beyond_the_preset(spark, more_orders, name):
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{more_orders}/orders.parquet'")
+    got = queries.QUERIES[name](spark, more_orders)
+    want = con.sql(f"select {', '.join(got.columns)} from ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_fitted_schema(spark):
+    points = _points(spark, [(1, 5, 40, 3), (2, None, -1, 15)])
+    wide = layout.fitted(points, SMALL)
+    assert [a.bits for a in SMALL.attributes] == [6, 3, 4] and [a.bits for a in wide.attributes] == [6, 6, 4]
+    assert layout.fitted(points.where("pk = 3"), SMALL) == SMALL
