@@ -401,7 +401,7 @@ def _order_files(spark, d) -> str:
 def csv_points(spark, d):
     from orthobox.sources.files import read_csv
 
-    return read_csv(spark, _order_files(spark, d), ORDERS4)
+    return read_csv(spark, _order_files(spark, d), layout.fitted(tables.orders4(spark, d), ORDERS4))
 
 
 @_register("csv_skip_limit", "SELECT * FROM p ORDER BY pk LIMIT 500 OFFSET 1000", "orders4")
