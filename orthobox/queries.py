@@ -409,7 +409,7 @@ def csv_skip_limit(spark, d):
     """The reader's own skip and limit, by id."""
     from orthobox.sources.files import read_csv
 
-    return read_csv(spark, _order_files(spark, d), ORDERS4, skip=1000, limit=500)
+    return read_csv(spark, _order_files(spark, d), layout.fitted(tables.orders4(spark, d), ORDERS4), skip=1000, limit=500)
 
 
 @_register("csv_split_parts", "SELECT count(*)::BIGINT AS n, min(pk) AS low, max(pk) AS high FROM p", "orders4")
