@@ -426,10 +426,11 @@ def sharded_store_counts(spark, d):
 
     first, second = scratch(spark), scratch(spark)
     points = tables.orders4(spark, d)
-    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 0"), 8), first, ORDERS4, 8, by_shard=True)
-    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 1"), 8), first, ORDERS4, 8, mode="append", by_shard=True)
-    layout.compact(spark, first, second, ORDERS4, 8)
-    found = search.range_search(spark.read.parquet(second), BoxQuery(ORDERS4, {"totalprice": (20000000, None)}), mode="rows")
+    schema = layout.fitted(points, ORDERS4)
+    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 0"), 8), first, schema, 8, by_shard=True)
+    layout.write_clustered(layout.with_shard(points.where("pk % 2 = 1"), 8), first, schema, 8, mode="append", by_shard=True)
+    layout.compact(spark, first, second, schema, 8)
+    found = search.range_search(spark.read.parquet(second), BoxQuery(schema, {"totalprice": (20000000, None)}), mode="rows")
     return found.groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"))
 
 
