@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from orthobox.functions.morton import with_key, word_names
-from orthobox.operators.layout import append, write_clustered
+from orthobox.operators.layout import append, fitted, write_clustered
 from orthobox.operators.lookup import lookup_many
 from orthobox.operators.search import batch_counts
 from orthobox.plans.box import BoxQuery, random_boxes
@@ -48,24 +48,27 @@ def plan_mixed(schema: PointSchema, weights: tuple[int, int, int], operations: i
 def run_mixed(spark: SparkSession, points: DataFrame, arriving: DataFrame, schema: PointSchema, weights: tuple[int, int, int] = (5, 95, 0), operations: int = 100, seed: int = 3, rounds: int = 4, max_pk: int | None = None, path: str | None = None) -> dict:
     """A workload of inserts, lookups and searches drawn with these weights, in rounds. A store is written from points; a
     round's inserts are appended to it as files of their own, then its lookups and searches read the store as it is, each
-    kind in one batch. arriving(pk, attributes) supplies the inserted points, in order of pk. Returns operations, rows and
-    seconds by kind; rows of inserts are what the store has gained."""
+    kind in one batch. arriving(pk, attributes) supplies the inserted points, in order of pk. The schema is that of the plan; the
+    store's is wide enough for all points. Returns operations, rows and seconds by kind; rows of inserts are what the store has
+    gained."""
     path, names = path or scratch(spark), ["pk", *schema.names]
     top = max_pk if max_pk is not None else points.agg(F.max("pk")).first()[0] or 0
     plan = plan_mixed(schema, weights, operations, seed, rounds, top)
-    write_clustered(points.select(names), path, schema, 4)
     # As many arriving points as the plan inserts, numbered: no more rows than operations.
     pool = arriving.select(names).orderBy("pk").limit(sum(p[0] for p in plan))
     staged = scratch(spark)
     pool.withColumn("nth", F.row_number().over(Window.orderBy("pk"))).write.parquet(staged)
-    pool, inserted, size = spark.read.parquet(staged), 0, spark.read.parquet(path).count()
+    pool = spark.read.parquet(staged)
+    wide = fitted(pool, fitted(points, schema))
+    write_clustered(points.select(names), path, wide, 4)
+    inserted, size = 0, spark.read.parquet(path).count()
     out = {k: {"operations": 0, "rows": 0, "seconds": 0.0} for k in KINDS}
     for n, keys, boxes in plan:
 
         def insert() -> int:
             nonlocal size
             before = size
-            append(pool.where(F.col("nth").between(inserted + 1, inserted + n)).select(names), path, schema)  # noqa: B023
+            append(pool.where(F.col("nth").between(inserted + 1, inserted + n)).select(names), path, wide)  # noqa: B023
             size = spark.read.parquet(path).count()
             return size - before
 

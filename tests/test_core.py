@@ -271,7 +271,7 @@ def more_orders(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["storage_report", "csv_points", "csv_skip_limit", "sharded_store_counts"])
+@pytest.mark.parametrize("name", ["storage_report", "csv_points", "csv_skip_limit", "sharded_store_counts", "mixed_workload"])
 def test_values_beyond_the_preset(spark, more_orders, name):
     con = duckdb.connect()
     con.sql(f"create view orders as select * from '{more_orders}/orders.parquet'")
