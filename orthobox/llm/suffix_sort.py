@@ -8,8 +8,10 @@ other, with separators, and their suffixes are sorted by induction:
   S suffixes is induced by scanning the buckets up and down, each suffix passing its predecessor to the bucket of that one's
   first symbol;
 - buckets are priority queues on the first symbol that keep arrival order. What is queued are tuples of a position and of the
-  prefix that its suffix shares with the one queued before it in that bucket. A queue holds at most `memory` tuples; beyond
-  that, batches go to a scratch file of the task and are read back when their bucket's turn comes;
+  prefix that its suffix shares with the one queued before it in that bucket; where only the order is asked for, positions.
+  Up to `memory` tuples a scan, buckets are regions of one array, as the number of suffixes of each type and first symbol is
+  known; with more, at most `memory` are held, and batches go to a scratch file of the task and are read back when their
+  bucket's turn comes;
 - substrings between leftmost S suffixes are named in the order that a first induction gives, and the string of names is sorted
   recursively in the same way: a name is written as two digits, so that the alphabet stays small, and the suffixes that begin
   at a first digit are in the order of the names. Beyond LEVELS, and where the digits are no shorter than the text was, ranks
@@ -44,21 +46,23 @@ MOST = 1_000_000  # bytes that are sorted at a time; an anchor with more is spli
 MEMORY = 8_000_000  # entries that the queues of a task hold before they use the disk
 END, GAP, SYMBOLS = 0, 1, 258  # bytes are shifted by 2
 LEVELS = 1  # of recursion
+WORD = 4  # symbols that are compared at once
+_FIRST = np.array([(1 << 16 * k) - 1 for k in range(WORD + 1)], np.uint64)
 SHRINKS = 0.8  # of the text's size, the most that a string of digits may have to be sorted recursively
 
 
 class BucketQueues:
-    """Queues of (position, common prefix), one for each first symbol, in order of arrival; on disk beyond `memory` entries."""
+    """Queues of (position, common prefix), one for each first symbol, in order of arrival; on disk beyond `memory` entries.
+    Symbols come in order."""
 
     def __init__(self, memory: int, symbols: int):
         self.chunks: list[list] = [[] for _ in range(symbols)]
         self.memory, self.held, self.file = memory, 0, None
 
-    def push(self, symbols: np.ndarray, positions: np.ndarray, common: np.ndarray) -> None:
+    def push(self, symbols: np.ndarray, positions: np.ndarray, common: np.ndarray | None) -> None:
         if not len(positions):
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols, positions, common = symbols[order], positions[order], common[order]
+        common = np.zeros(len(positions), np.uint16) if common is None else common
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(symbols)) + 1, [len(symbols)]]).tolist()
         for a, z in zip(cuts, cuts[1:]):
             self.chunks[symbols[a]].append((positions[a:z], common[a:z]))
@@ -95,6 +99,39 @@ class BucketQueues:
             self.file.close()
 
 
+class HeldQueues:
+    """The same where all entries fit in memory: one array, in which each symbol has a region as large as it will need."""
+
+    def __init__(self, sizes: np.ndarray, carry: bool):
+        begin = np.cumsum(sizes) - sizes
+        self.begin, self.end = begin.tolist(), begin.copy()
+        self.positions = np.empty(int(sizes.sum()), np.int32)
+        self.common = np.empty(len(self.positions), np.uint16) if carry else None
+
+    def push(self, symbols: np.ndarray, positions: np.ndarray, common: np.ndarray | None) -> None:
+        if not len(positions):
+            return
+        n = np.bincount(symbols, minlength=len(self.end))
+        place = (self.end - np.cumsum(n) + n)[symbols]
+        place += np.arange(len(symbols))
+        self.positions[place] = positions
+        if self.common is not None:
+            self.common[place] = common
+        self.end += n
+
+    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray | None]:
+        own = slice(self.begin[c], int(self.end[c]))
+        return self.positions[own], None if self.common is None else self.common[own]
+
+    def close(self) -> None:
+        pass
+
+
+def _queues(memory: int, sizes: np.ndarray, carry: bool) -> BucketQueues | HeldQueues:
+    """sizes: the most entries that each symbol's queue will ever get."""
+    return HeldQueues(sizes, carry) if sizes.sum() <= memory else BucketQueues(memory, len(sizes))
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S (less than its successor); the last one is."""
     n = len(t)
@@ -121,37 +158,46 @@ class _Carried:
     def __init__(self, symbols: int, cap: int):
         self.low, self.cap = np.zeros(symbols, np.uint16), cap
 
-    def push(self, scanned: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """scanned: common prefix of each scanned suffix and the one before; at, symbol: which of them push, and to where."""
-        if not self.cap or not len(scanned):
-            return np.zeros(len(at), np.uint16)
+    def push(self, scanned: np.ndarray, i: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """scanned: common prefix of each scanned suffix and the one before; i, c: which of them push, and to what symbol, in
+        order of symbols."""
+        if not len(i):
+            np.minimum(self.low, scanned.min(), out=self.low)
+            return np.empty(0, np.uint16)
         upto = np.minimum.accumulate(scanned)
-        low = np.minimum(self.low, upto[-1])
-        out = np.empty(len(at), np.uint16)
-        if len(at):
-            order = np.argsort(symbol, kind="stable")
-            i, c = at[order], symbol[order]
-            head = np.concatenate([[True], c[1:] != c[:-1]])
-            value = np.empty(len(i), np.uint16)
-            value[head] = np.minimum(self.low[c[head]], upto[i[head]])
+        head = np.empty(len(i), bool)
+        head[0] = True
+        np.not_equal(c[1:], c[:-1], out=head[1:])
+        value = np.empty(len(i), np.uint16)
+        first = np.flatnonzero(head)
+        to = c[first]
+        value[first] = np.minimum(self.low[to], upto[i[first]])
+        if len(first) < len(i):
             rest = np.flatnonzero(~head)
-            if len(rest):
-                value[rest] = _range_min(scanned, i[rest - 1] + 1, i[rest] + 1)
-            after = np.append(np.minimum.accumulate(scanned[::-1])[::-1], self.cap)
-            tail = np.append(head[1:], True)
-            low[c[tail]] = after[i[tail] + 1]
-            out[order] = np.minimum(value + 1, self.cap)
-        self.low = low
-        return out
-
-
-def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int, symbols: int, common: np.ndarray | None = None, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes from that of the leftmost S suffixes (`seeds`), and each one's common prefix with the one
-    before it, up to `cap`; common: the same of the seeds."""
-    first, queue = BucketQueues(memory, symbols), BucketQueues(memory, symbols)
-    first.push(t[seeds], seeds, np.zeros(len(seeds), np.uint16) if common is None else common)
-    none = (np.empty(0, np.int32), np.empty(0, np.uint16))
+            value[rest] = _range_min(scanned, i[rest - 1] + 1, i[rest] + 1)
+        after = np.empty(len(scanned) + 1, np.uint16)
+        after[-1] = self.cap
+        after[:-1] = np.minimum.accumulate(scanned[::-1])[::-1]
+        np.minimum(self.low, upto[-1], out=self.low)
+        self.low[to] = after[i[np.append(first[1:], len(i)) - 1] + 1]
+        value += 1
+        return np.minimum(value, self.cap, out=value)
+
+
+def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int, symbols: int, common: np.ndarray | None = None, cap: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """The order of all suffixes from that of the leftmost S suffixes (`seeds`), and, if there is a cap, each one's common
+    prefix with the one before it, up to that; common: the same of the seeds."""
+    order = np.argsort(t[seeds], kind="stable")
+    at = t[seeds[order]]
+    first = _queues(memory, np.bincount(at, minlength=symbols), cap > 0)
+    first.push(at, seeds[order], common[order] if cap else None)
+    none = (np.empty(0, np.int32), np.empty(0, np.uint16) if cap else None)
     larger, least, carried = [none] * symbols, [none] * symbols, _Carried(symbols, cap)
+    # Symbol and type of each suffix's predecessor, whose last two bits are 1 for S and 2 for L; the first suffix has none.
+    before = np.zeros(len(t), np.uint16 if 4 * symbols < 1 << 16 else np.uint32)
+    before[1:] = t[:-1]
+    before[1:] <<= 2
+    before[1:] += 2 - s_type[:-1].view(np.uint8)
 
     def run(p: int) -> int:
         """How often the symbol at p is repeated."""
@@ -164,46 +210,66 @@ def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, memory: int, sy
         """Common prefix of an L and an S suffix with one first symbol: the shorter run of it."""
         return min(run(int(of_l)), run(int(of_s))) if cap else 0
 
-    def pass_on(found: np.ndarray, shared: np.ndarray, want_s: bool, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Queues the predecessors of `found` that have the wanted type; returns those that stay in bucket c."""
-        at = np.flatnonzero(found > 0)
-        at = at[s_type[found[at] - 1] == want_s]
-        before = found[at] - 1
-        symbol = t[before]
-        value = carried.push(shared, at, symbol)
-        here = symbol == c
-        queue.push(symbol[~here], before[~here], value[~here])
-        return before[here], value[here]
-
-    def bucket(c: int, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pass_on(found: np.ndarray, shared: np.ndarray | None, want_s: bool, c: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Queues the predecessors of `found` that have the wanted type; returns those that stay in bucket c. The others' symbols
+        are less than c if they are of type S, greater if of type L."""
+        if not len(found):
+            return none
+        code = before[found]
+        at = np.flatnonzero(code & (1 if want_s else 2))
+        symbol = code[at] >> 2
+        order = np.argsort(symbol, kind="stable")
+        at, symbol = at[order], symbol[order]
+        value = carried.push(shared, at, symbol) if cap else None
+        if not len(at):
+            return none
+        position = found[at] - 1
+        cut = int(np.searchsorted(symbol, c, "left" if want_s else "right"))
+        stay, go = (slice(cut, None), slice(0, cut)) if want_s else (slice(0, cut), slice(cut, None))
+        queue.push(symbol[go], position[go], value[go] if cap else None)
+        return position[stay], value[stay] if cap else None
+
+    def bucket(c: int, want_s: bool) -> tuple[np.ndarray, np.ndarray | None]:
         wave, own = queue.pop(c), []
-        if len(wave[0]):
+        if cap and len(wave[0]):
             wave[1][0] = 0  # the first of its bucket
         while len(wave[0]):
             own.append(wave)
             wave = pass_on(*wave, want_s, c)
-        return tuple(np.concatenate(x) for x in zip(*own)) if own else none
+        if len(own) < 2:
+            return own[0] if own else none
+        return np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]) if cap else None
 
+    queue = _queues(memory, np.bincount(t[~s_type], minlength=symbols), cap > 0)
     for c in range(symbols):
         larger[c] = bucket(c, False)
         found, shared = first.pop(c)
-        if len(found):
+        if cap and len(found):
             shared[0] = seam(larger[c][0][-1], found[0]) if len(larger[c][0]) else 0
         pass_on(found, shared, False, c)
+    first.close()
+    queue.close()
+    queue = _queues(memory, np.bincount(t[s_type], minlength=symbols), cap > 0)
     carried.low[:] = 0
     for c in range(symbols - 1, -1, -1):
         down, shared = bucket(c, True)
         own, of_own = larger[c]
         joint = seam(own[-1], down[-1]) if len(own) and len(down) else 0
         if len(own):
-            pass_on(own[::-1], np.concatenate([[joint], of_own[:0:-1]]).astype(np.uint16), True, c)
+            pass_on(own[::-1], np.concatenate([[joint], of_own[:0:-1]]).astype(np.uint16) if cap else None, True, c)
         if len(down):
-            least[c] = down[::-1], np.concatenate([[joint], shared[:0:-1]]).astype(np.uint16)
-    first.close()
+            least[c] = down[::-1], np.concatenate([[joint], shared[:0:-1]]).astype(np.uint16) if cap else None
     queue.close()
     # The last suffix is no one's predecessor: it is the least of all.
     both = [x for c in range(symbols) for x in (larger[c], least[c])]
-    return np.concatenate([np.array([len(t) - 1], np.int32), *[x[0] for x in both]]), np.concatenate([np.zeros(1, np.uint16), *[x[1] for x in both]])
+    return np.concatenate([np.array([len(t) - 1], np.int32), *[x[0] for x in both]]), np.concatenate([np.zeros(1, np.uint16), *[x[1] for x in both]]) if cap else None
+
+
+def _words(t: np.ndarray) -> np.ndarray:
+    """The WORD symbols from each place on as one number; END past the end."""
+    padded = np.zeros(len(t) + WORD - 1, np.uint16)
+    padded[: len(t)] = t
+    return np.ndarray((len(t),), "<u8", padded, strides=(2,))
 
 
 def _named(t: np.ndarray, starts: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -211,13 +277,15 @@ def _named(t: np.ndarray, starts: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     end = np.append(starts[1:], len(t) - 1)
     size = np.zeros(len(t), np.int32)
     size[starts] = end - starts + 1
-    a, b = ranked[:-1], ranked[1:]
-    same = size[a] == size[b]
-    for k in range(int(size.max())):
-        live = np.flatnonzero(same & (size[a] > k))
-        if not len(live):
-            break
-        same[live] = t[a[live] + k] == t[b[live] + k]
+    sizes = size[ranked]
+    same, word = sizes[1:] == sizes[:-1], _words(t)
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        a, b = ranked[live] + k, ranked[live + 1] + k
+        kept = np.minimum(sizes[live] - k, WORD)
+        same[live] = equal = ((word[a] ^ word[b]) & _FIRST[kept]) == 0
+        k += WORD
+        live = live[equal & (sizes[live] > k)]
     name = size  # no longer needed
     name[ranked] = np.concatenate([[0], np.cumsum(~same)])
     return name[starts].astype(np.int64)
@@ -225,13 +293,18 @@ def _named(t: np.ndarray, starts: np.ndarray, ranked: np.ndarray) -> np.ndarray:
 
 def _common(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """The common prefix, up to cap, of each of these suffixes and the one before it."""
-    out, live, last = np.zeros(len(order), np.uint16), np.arange(1, len(order)), len(t) - 1
-    for k in range(cap):
-        a, b = t[np.minimum(order[live - 1] + k, last)], t[np.minimum(order[live] + k, last)]
-        live = live[a == b]
+    out, live, word = np.zeros(len(order), np.uint16), np.arange(1, len(order)), _words(t)
+    for k in range(0, cap, WORD):
+        # Neither has come to its end: END stands only once, so up to there they would differ.
+        differ = word[order[live - 1] + k] ^ word[order[live] + k]
+        ended = differ != 0
+        low = differ[ended]
+        # The lowest bit that differs, exact as a double.
+        out[live[ended]] = np.minimum(k + (np.frexp((low & (~low + np.uint64(1))).astype(np.float64))[1] - 1) // 16, cap)
+        live = live[~ended]
         if not len(live):
             break
-        out[live] += 1
+    out[live] = cap
     return out
 
 

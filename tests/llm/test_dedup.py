@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -131,6 +132,25 @@ def test_suffix_order():
             assert order.tolist() == want and common.tolist() == shared
 
 
+def test_suffix_order_in_few_steps():
+    """Queues that fit in memory give what those on disk give, for caps between two words too, with few calls a symbol."""
+    rng, calls = np.random.RandomState(4), []
+    for symbols in (4, 250):
+        t = np.append(rng.randint(1, symbols, 3000), 0).astype(np.uint16)
+        t[1500:2900] = t[:1400]
+        want = sorted(range(len(t)), key=lambda k: t[k:].tolist())
+        for cap in (1, 7, 50):
+            shared = [0] + [next((j for j in range(cap) if t[a + j] != t[b + j]), cap) for a, b in zip(want, want[1:])]
+            for memory in (10**6, 500):
+                order, common = suffix_sort.suffix_order(t, len(t), memory, cap=cap)
+                assert order.tolist() == want and common.tolist() == shared
+    t = np.append(rng.randint(1, 250, 40000), 0).astype(np.uint16)
+    sys.setprofile(lambda frame, event, of: calls.append(1) if event in ("call", "c_call") else None)
+    suffix_sort.suffix_order(t, 50, cap=50)
+    sys.setprofile(None)
+    assert len(calls) < 400_000
+
+
 def test_pieces_have_equal_anchors():
     rng = np.random.RandomState(3)
     for kind, n, gram in ((np.uint8, 50, 16), (np.uint64, 20, 10)):
