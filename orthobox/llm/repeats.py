@@ -29,6 +29,7 @@ Documents are ordered by id; rows without an id come last.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -45,6 +46,7 @@ GROUP_BYTES, BLOCK = 16_000_000, 1 << 19
 SPOOL_BYTES, HELD_BYTES, FAN, SPANS = 32_000_000, 16_000_000, 16, 1 << 17  # bytes a spool keeps in memory; bytes of different pieces; spools of a split; spans of an answer
 COUNT_BITS = 20
 LAST = np.iinfo(np.int64).max
+_OUT = np.zeros(1, bool)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -153,15 +155,43 @@ class Group:
                 begin = end
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker of Python waits for its next task with all that the last one had used, and
+    an executor may keep more workers than it has cores."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def _lean(run: Callable) -> Callable:
+    """run(key, table, ...), after which the worker gives back what it had used."""
+
+    def of_group(*tables):
+        try:
+            return run(*tables)
+        finally:
+            _give_back()
+
+    # Spark tells by the number of arguments whether the key is wanted.
+    return (lambda key, table: of_group(key, table)) if run.__code__.co_argcount == 2 else (lambda key, table, other: of_group(key, table, other))
+
+
 def keys_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Shard number in the upper, 32 bits of the hash in the lower half."""
     return ((h >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Its values once each, in order. np.unique hashes them, which takes many times as long as to sort them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _send_hashes(plan: Plan, shards: int):
     def run(key, table):
-        found = [np.unique(keys_of(p[3], shards)) for p in Group(table, plan).pieces()]
-        k = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+        found = [_distinct(keys_of(p[3], shards)) for p in Group(table, plan).pieces()]
+        k = _distinct(np.concatenate(found)) if found else np.empty(0, np.uint64)
         shard = (k >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         low = k.astype(np.uint32)
@@ -174,7 +204,7 @@ def _send_hashes(plan: Plan, shards: int):
 def _answer(key, table):
     parts = [np.frombuffer(b, np.uint32) for b in table.column("hashes").to_pylist()]
     both = np.sort(np.concatenate(parts))
-    twice = np.unique(both[1:][both[1:] == both[:-1]])
+    twice = _distinct(both[1:][both[1:] == both[:-1]])
     bits = []
     for p in parts:
         k = np.searchsorted(twice, p)
@@ -337,7 +367,7 @@ def _cut_anew(spool: Spool, plan: Plan, dtype: type, windows: bool) -> Spool:
 
 
 def _solve(spool: Spool, plan: Plan, dtype: type, depth: int = 0, cuts: int = 0):
-    """(part, ordinal, first symbol, end) of what the pieces of the spool remove. Closes the spool."""
+    """(part, rows of (ordinal, first symbol, end)) of what the pieces of the spool remove. Closes the spool."""
     width = np.dtype(dtype).itemsize
     known: dict[bytes, tuple] = {}  # content -> (*first place, hash)
     own: dict[int, int] = {}  # bytes of the different pieces of each hash
@@ -379,12 +409,12 @@ def _solve(spool: Spool, plan: Plan, dtype: type, depth: int = 0, cuts: int = 0)
     by_hash: dict[int, list[bytes]] = {}
     for c, place in known.items():
         by_hash.setdefault(place[4], []).append(c)
-    masks: dict[bytes, np.ndarray | None] = {}
+    masks: dict[bytes, list[tuple[int, int]]] = {}  # content -> its runs of windows to remove: (first, one past the last)
     chunk, size = [], 0
 
     def resolve():
         chunk.sort(key=known.__getitem__)
-        masks.update(zip(chunk, plan.resolve([np.frombuffer(c, dtype) for c in chunk], [known[c][0] for c in chunk], [known[c][4] for c in chunk])))
+        masks.update(_runs(chunk, plan.resolve([np.frombuffer(c, dtype) for c in chunk], [known[c][0] for c in chunk], [known[c][4] for c in chunk])))
 
     for cs in by_hash.values():
         if len(cs) > 1:
@@ -398,25 +428,40 @@ def _solve(spool: Spool, plan: Plan, dtype: type, depth: int = 0, cuts: int = 0)
         resolve()
     del by_hash, chunk
     for part, _, size, n, (id_, ordinal, at), content in spool:
-        begin = k = 0
-        id_, ordinal, at = id_.tolist(), ordinal.tolist(), at.tolist()
-        for w, m in zip(size.tolist(), n.tolist()):
-            c = content[begin : begin + w]
-            begin += w
-            first, mask = known[c][:4], masks.get(c)
-            edge = None
-            for j in range(k, k + m):
-                if (id_[j], part, ordinal[j], at[j]) != first if plan.same_document else id_[j] > first[0]:
-                    yield part, ordinal[j], at[j], at[j] + w // width
-                elif mask is not None:
-                    if edge is None:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
-                    for a, z in zip(edge[::2], edge[1::2]):
-                        yield part, ordinal[j], at[j] + a, at[j] + z - 1 + plan.length
-            k += m
+        own = [content[e - w : e] for e, w in zip(np.cumsum(size).tolist(), size.tolist())]
+        piece = np.repeat(np.arange(len(n)), n)
+        if plan.same_document:
+            first = np.array([known[c][:4] for c in own], np.int64)[piece]
+            gone = (id_ != first[:, 0]) | (part != first[:, 1]) | (ordinal != first[:, 2]) | (at != first[:, 3])
+        else:
+            gone = id_ > np.array([known[c][0] for c in own], np.int64)[piece]
+        spans = [np.stack([ordinal[gone], at[gone], at[gone] + size[piece[gone]] // width], axis=1)]
+        some, stays = [], np.flatnonzero(~gone)
+        for k, o, a in zip(piece[stays].tolist(), ordinal[stays].tolist(), at[stays].tolist()):
+            for x, z in masks.get(own[k], ()):
+                some += o, a + x, a + z - 1 + plan.length
+        yield part, np.concatenate([*spans, np.array(some, np.int32).reshape(-1, 3)])
     spool.close()
 
 
+def _runs(pieces: list[bytes], masks: list[np.ndarray | None]) -> dict[bytes, list[tuple[int, int]]]:
+    """For each piece that has any, the runs of its mask."""
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    own = [k for k, m in enumerate(masks) if m is not None]
+    if not own:
+        return out
+    ends = np.cumsum([len(masks[k]) + 1 for k in own])
+    flat = np.zeros(ends[-1] + 1, np.int8)  # a 0 before the first and after each
+    flat[1:] = np.concatenate([x for k in own for x in (masks[k], _OUT)])
+    step = np.diff(flat)
+    rises, falls = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    of = np.searchsorted(ends, rises, "right")
+    begin = np.append(0, ends)[of]
+    for k, a, z in zip(of.tolist(), (rises - begin).tolist(), (falls - begin).tolist()):
+        out.setdefault(pieces[own[k]], []).append((a, z))
+    return out
+
+
 def _resolve(plan: Plan, dtype: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spool = Spool()
@@ -428,16 +473,20 @@ def _resolve(plan: Plan, dtype: type):
 
         def batch_of():
             parts = sorted(removed)
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.array(removed[p], np.int32).tobytes() for p in parts], pa.binary())], ["part", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.concatenate(removed[p]).astype(np.int32).tobytes() for p in parts], pa.binary())], ["part", "spans"])
 
         found = 0
-        for part, *span in _solve(spool, plan, dtype):
-            removed.setdefault(part, []).extend(span)
-            found += 1
-            if found == SPANS:
+        for part, spans in _solve(spool, plan, dtype):
+            if not len(spans):
+                continue
+            removed.setdefault(part, []).append(spans)
+            found += len(spans)
+            if found >= SPANS:
                 yield batch_of()
                 removed, found = {}, 0
         yield batch_of()
+        spool = removed = None
+        _give_back()
 
     return run
 
@@ -468,15 +517,15 @@ def remove_repeats(docs: DataFrame, plan: Plan, dtype: type, id_col: str, text_c
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("part"))
-    hashes = texts.groupBy("part").applyInArrow(_send_hashes(plan, parts), "shard int, part int, hashes binary")
+    hashes = texts.groupBy("part").applyInArrow(_lean(_send_hashes(plan, parts)), "shard int, part int, hashes binary")
     answers = hashes.groupBy("shard").applyInArrow(_answer, "part int, shard int, bits binary")
     sent = "shard int, part int, hash binary, size binary, n binary, id binary, ordinal binary, at binary, content binary"
-    pieces = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_send_pieces(plan, parts), sent)
+    pieces = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_lean(_send_pieces(plan, parts)), sent)
     spans = pieces.groupBy("shard").applyInArrow(_resolve(plan, dtype), "part int, spans binary")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     kind: StructType = _parse_datatype_string(f"id long, {plan.schema}")
     arrow = to_arrow_schema(kind)
-    out = texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_finish(plan, arrow.names, arrow.types), kind)
+    out = texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_lean(_finish(plan, arrow.names, arrow.types)), kind)
     return out.withColumnRenamed("id", id_col)

@@ -151,6 +151,19 @@ def test_suffix_order_in_few_steps():
     assert len(calls) < 400_000
 
 
+def test_runs_of_masks():
+    rng = np.random.RandomState(5)
+    masks = [None if k % 4 == 0 else rng.randint(0, 2, rng.randint(1, 9)).astype(bool) for k in range(60)]
+    names = [b"%d" % k for k in range(60)]
+    want = {c: [k for k in range(len(m)) if m[k]] for c, m in zip(names, masks) if m is not None and m.any()}
+    got = repeats._runs(names, masks)
+    assert {c: [k for a, z in r for k in range(a, z)] for c, r in got.items()} == want
+    assert all(a[1] < b[0] for r in got.values() for a, b in zip(r, r[1:])) and repeats._runs([b"x"], [None]) == {}
+    for n in (0, 1, 500):
+        x = rng.randint(0, 90, n).astype(np.uint64)
+        assert repeats._distinct(x).tolist() == sorted(set(x.tolist()))
+
+
 def test_pieces_have_equal_anchors():
     rng = np.random.RandomState(3)
     for kind, n, gram in ((np.uint8, 50, 16), (np.uint64, 20, 10)):
